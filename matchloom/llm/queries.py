@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op10_mixing
 from .packing import op3_best_fit_packing
+from .rules import op9_quality_rules
+from .secrets import op8_secret_scans
 from .wavelet import op5_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_token_shards": op5_token_shards,
+    "op8_secret_scans": op8_secret_scans,
+    "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
 
