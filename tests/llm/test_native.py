@@ -74,7 +74,8 @@ def test_rules_are_brute_force(docs, rows):
 
 
 def test_boilerplate_is_counted_per_host_and_depletes(spark):
-    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    body = lambda i: " ".join(f"{letters[i % 26]}{letters[i // 26]}{letters[j % 26]}{letters[j // 26]}" for j in range(60))
     common = "Subscribe to our letter 12 " + " ".join(f"c{j}" for j in range(50))
     rows = [(i, "h", common.replace("12", str(i)) + "\n" + body(i)) for i in range(30)] + [(100, "h", common + "\n" + "few words"), (101, "g", common + "\n" + "few words"), (102, "h", body(7))]
     rows += [(200 + i, "copies", "one text that many copies have " + body(1)) for i in range(50)]
