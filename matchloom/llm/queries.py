@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op10_mixing
+from .near_dup import op2_simhash_near_dup
 from .packing import op3_best_fit_packing
+from .quality import op1_quality_classifier
 from .rules import op9_quality_rules
 from .secrets import op8_secret_scans
 from .wavelet import op5_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_simhash_near_dup": op2_simhash_near_dup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_token_shards": op5_token_shards,
     "op8_secret_scans": op8_secret_scans,

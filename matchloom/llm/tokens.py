@@ -20,10 +20,20 @@ CHUNK_CHARS = 6_000_000
 _LOADED: dict[str, WordEncoder] = {}
 
 
+class _Known(dict[str, bytes]):
+    """The words that stay, and behind them those of the texts at hand."""
+
+    rest: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.rest[word]
+
+
 #: Marks that compose with Latin letters; some of them with one case of a letter only.
 _MARKS = re.compile("[\u0300-\u036f]")
 #: Latin words that the normalizer leaves as they are.
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_POINTED = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]+)").fullmatch
 
 
 def _plain_case(text: str) -> str:
@@ -43,13 +53,12 @@ class WordEncoder:
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache_words = cache_words
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Known({"": b""})
         self.marker = "<|endoftext|>"
         self.marker_id = self.tokenizer.token_to_id(self.marker)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.points = {c: self._ids(c).tobytes() for c in ".,"}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -63,37 +72,38 @@ class WordEncoder:
     def _learn(self, unknown: list[str], into: dict[str, bytes]) -> None:
         """Encode distinct words, thousands in one call.
 
-        A lower-case Latin word is one run of the pre-tokenizer, so its last piece, and no other, ends a word; a full
-        stop or comma behind it is a run of its own. Between all other words stand special tokens as borders.
+        A lower-case Latin word is one run of the pre-tokenizer, so its last piece, and no other, ends a word; the
+        punctuation behind it is a run of its own. Between all other words stand special tokens as borders.
         """
-        pointed, letters, other = [], set(), []
+        known = self.known
+        pointed, letters, other = [], set(), set()
         for word in unknown:
             if _LETTERS(word):
                 letters.add(word)
-            elif word[-1] in self.points and _LETTERS(word[:-1]):
-                pointed.append(word)
-                if word[:-1] not in self.known:
-                    letters.add(word[:-1])
+            elif (found := _POINTED(word)) and "<|" not in word:
+                stem, tail = found.groups()
+                pointed.append((word, stem, tail))
+                if stem not in known:
+                    letters.add(stem)
+                if tail not in known:
+                    other.add(tail)
             else:
-                other.append(word)
-        found: dict[str, bytes] = {}
+                other.add(word)
         plain = list(letters)
         for start in range(0, len(plain), 4096):
             part = plain[start : start + 4096]
             (encoding,) = self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.array(encoding.ids, dtype="<u4")
-            self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0, found)
+            self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0, into)
         plain = [w for w in other if "<|" not in w]
         for start in range(0, len(plain), 2048):
             part = plain[start : start + 2048]
             ids = self._ids(self.marker.join(part))
-            self._cut(part, ids, np.append(np.flatnonzero(ids == self.marker_id), len(ids)), 1, found)
+            self._cut(part, ids, np.append(np.flatnonzero(ids == self.marker_id), len(ids)), 1, into)
         for word in (w for w in other if "<|" in w):
-            found[word] = self._ids(word).tobytes()
-        for word in pointed:
-            stem = word[:-1]
-            found[word] = (found[stem] if stem in found else self.known[stem]) + self.points[word[-1]]
-        into.update((w, found[w]) for w in unknown)
+            into[word] = self._ids(word).tobytes()
+        for word, stem, tail in pointed:
+            into[word] = (into[stem] if stem in into else known[stem]) + (into[tail] if tail in into else known[tail])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
@@ -114,11 +124,9 @@ class WordEncoder:
         unknown = list(set().union(*split).difference(known))
         room = max(0, self.cache_words - len(known))
         self._learn(unknown[:room], known)
-        if len(unknown) <= room:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        rest: dict[str, bytes] = {}
+        known.rest = rest = {}
         self._learn(unknown[room:], rest)
-        return [b"".join([known[w] if w in known else rest[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def encoder(path: str) -> WordEncoder:
