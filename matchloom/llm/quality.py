@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import documents, table
 
-FILTERS = 16
+FILTERS = 24
 WIDTH = 6
 CHUNK = 256
 STRIDE = CHUNK - (WIDTH - 1)
-SAMPLE = 1200
+SAMPLE = 2000
 SAMPLE_BYTES = 65_536
 EPOCHS = 14
 BATCH = 32
