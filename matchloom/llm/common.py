@@ -36,17 +36,14 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write `df` as Parquet into the shared folder and read it back.
 
     Unlike an eager checkpoint() this computes `df` once, keeps it columnar, and survives lost executors.
     """
     spark = df.sparkSession
     path = stage_path(spark, label)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

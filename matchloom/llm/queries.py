@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .license_scan import op6_license_scans
+from .media import op7_media_columns
 from .mixing import op10_mixing
 from .near_dup import op2_simhash_near_dup
 from .packing import op3_best_fit_packing
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dup": op2_simhash_near_dup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_token_shards": op5_token_shards,
+    "op6_license_scans": op6_license_scans,
+    "op7_media_columns": op7_media_columns,
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
