@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
@@ -101,22 +101,27 @@ def flow(capacity: dict[tuple, int], wanted: dict[Any, float], most: int = MAX_R
     return {p: {s: room[via[p, s] ^ 1] for s in p if (p, s) in via} for p in patterns}
 
 
+def _pattern(memberships: Any) -> Column:
+    return F.array(F.col("source")) if memberships is None else F.array_sort(F.array_distinct(memberships))
+
+
+def _spot(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)))
+
+
 def measured(docs: DataFrame, memberships: Any = None, seed: int = SEED) -> DataFrame:
     """doc_id, pattern (sorted array of sources), size, and the seeded place `spot`."""
-    pattern = F.array(F.col("source")) if memberships is None else F.array_sort(F.array_distinct(memberships))
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    spot = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)))
-    return docs.select("doc_id", pattern.alias("pattern"), size.alias("size"), spot.alias("spot"))
+    return docs.select("doc_id", _pattern(memberships).alias("pattern"), size.alias("size"), _spot(seed).alias("spot"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), memberships: Any = None, seed: int = SEED, most: int = MAX_REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, pattern, size, source_size, target (arrays by the pattern's sources), copies and taken for each document.
+Plan = list[tuple]
+PLAN = "pattern array<string>, whole int, source_size array<long>, target array<double>, last_bucket int, limit_spot long"
 
-    `memberships` is a column with the array of a document's sources; by default its one `source`.
-    """
-    sized = materialize(measured(docs, memberships, seed), "mix")
-    bucket = F.shiftrightunsigned("spot", 52)  # 4096 of them
-    by_bucket = materialize(sized.groupBy("pattern", bucket.cast("int").alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets")
+
+def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MAX_REPEATS) -> Plan:
+    """One row per pattern: its whole repetitions, and the place up to which its documents are taken once more."""
+    by_bucket = materialize(sized.groupBy("pattern", _bucket().alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets")
     rows = by_bucket.groupBy("pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -125,28 +130,52 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), memberships: An
     own = {s: sum(w for p, w in capacity.items() if s in p) for s in order}
     wanted = targets(own, order, weights, most)
     sent = flow(capacity, wanted, most)
-    plan = []
+    taken = []
     for p, words in capacity.items():
         through = sum(sent[p].values())
         whole = min(most, int(through // words)) if words else 0
         more = round(through - whole * words) if whole < most else 0
-        plan.append((list(p), whole, more, [own[s] for s in p], [wanted[s] for s in p]))
-    spark = docs.sparkSession
-    planned = spark.createDataFrame(plan, "pattern array<string>, whole long, more long, source_size array<long>, target array<double>")
-    planned = F.broadcast(planned)  # at most MAX_PATTERNS rows
+        taken.append((list(p), whole, more, [own[s] for s in p], [wanted[s] for s in p]))
     # The bucket in which the words taken once more end, and the words before it.
+    shares = F.broadcast(sized.sparkSession.createDataFrame([(t[0], t[2]) for t in taken], "pattern array<string>, more long"))
     before = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("words")
-    summed = by_bucket.withColumn("before", before).join(planned, "pattern")
-    last = F.broadcast(summed.where("before < more and before + words >= more").select("pattern", "bucket", "before", "more"))  # one row a pattern
-    inside = sized.select("pattern", "spot", "size", bucket.cast("int").alias("bucket")).join(last, ["pattern", "bucket"])
+    ends = by_bucket.withColumn("before", before).join(shares, "pattern").where("before < more and before + words >= more")
+    ends = ends.select("pattern", "bucket", "before", "more")
+    inside = sized.select("pattern", "spot", "size", _bucket().alias("bucket")).join(F.broadcast(ends), ["pattern", "bucket"])  # one row a pattern
     running = F.sum("size").over(Window.partitionBy("pattern").orderBy("spot").rangeBetween(Window.unboundedPreceding, 0))
     # A document is taken if its middle lies before the end, so the sum ends within half a document of it.
     limits = inside.withColumn("upto", F.col("before") + running).where("2 * upto - size <= 2 * more").groupBy("pattern").agg(F.max("spot").alias("limit_spot"))
-    marks = last.select("pattern", F.col("bucket").alias("last_bucket")).join(limits, "pattern", "left")
-    joined = sized.withColumn("bucket", bucket.cast("int")).join(planned, "pattern").join(F.broadcast(marks), "pattern", "left")
-    again = (F.col("bucket") < F.col("last_bucket")) | ((F.col("bucket") == F.col("last_bucket")) & (F.col("spot") <= F.col("limit_spot")))
-    copies = F.col("whole") + F.when((F.col("more") > 0) & F.coalesce(again, F.lit(False)), 1).otherwise(0)
-    return joined.select("doc_id", "pattern", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    marks = {tuple(r["pattern"]): (r["bucket"], r["limit_spot"]) for r in ends.join(limits, "pattern", "left").select("pattern", "bucket", "limit_spot").collect()}  # at most one row a pattern
+    return [(p, whole, own_words, want, *marks.get(tuple(p), (0, None))) for p, whole, _, own_words, want in taken]
+
+
+def _bucket() -> Column:
+    return F.shiftrightunsigned("spot", 52).cast("int")  # BUCKETS of them
+
+
+def with_copies(rows: DataFrame, planned: Plan) -> DataFrame:
+    """`rows` (pattern, spot, ...) with source_size, target (arrays by the pattern's sources) and copies."""
+    joined = rows.join(F.broadcast(rows.sparkSession.createDataFrame(planned, PLAN)), "pattern")  # at most MAX_PATTERNS rows
+    again = (_bucket() < F.col("last_bucket")) | ((_bucket() == F.col("last_bucket")) & F.coalesce(F.col("spot") <= F.col("limit_spot"), F.lit(False)))
+    return joined.withColumn("copies", F.col("whole") + again.cast("int")).drop("whole", "last_bucket", "limit_spot")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), memberships: Any = None, seed: int = SEED, most: int = MAX_REPEATS) -> DataFrame:
+    """doc_id, pattern, size, source_size, target (arrays by the pattern's sources), copies and taken for each document.
+
+    `memberships` is a column with the array of a document's sources; by default its one `source`.
+    """
+    sized = materialize(measured(docs, memberships, seed), "mix")
+    out = with_copies(sized, plan(sized, weights, most))
+    return out.select("doc_id", "pattern", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), memberships: Any = None, seed: int = SEED, most: int = MAX_REPEATS) -> DataFrame:
+    """Each row of `docs`, with all its columns, as often as the mix takes it."""
+    planned = plan(materialize(measured(docs, memberships, seed), "mix"), weights, most)
+    pattern, spot = _pattern(memberships), _spot(seed)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), pattern.alias("pattern"), spot.alias("spot"))
+    return with_copies(rows, planned).where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

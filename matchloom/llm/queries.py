@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .license_scan import op6_license_scans
+from .lm_score import op4_lm_scoring
 from .media import op7_media_columns
 from .mixing import op10_mixing
 from .near_dup import op2_simhash_near_dup
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_near_dup": op2_simhash_near_dup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_token_shards": op5_token_shards,
     "op6_license_scans": op6_license_scans,
     "op7_media_columns": op7_media_columns,
