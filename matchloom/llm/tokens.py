@@ -15,7 +15,7 @@ TOKENIZER_FILE = "word_bpe_49k.json"
 #: Words kept per Python worker; the ones first met stay. About 250 bytes each.
 CACHE_WORDS = 500_000
 #: Characters whose words are held at once.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 5_000_000
 
 _LOADED: dict[str, WordEncoder] = {}
 
@@ -52,6 +52,9 @@ class WordEncoder:
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii = Tokenizer.from_file(path)  # byte-level symbols of ASCII letters are these letters
+        self.ascii.normalizer = normalizers.Sequence([])
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.cache_words = cache_words
         self.known = _Known({"": b""})
         self.marker = "<|endoftext|>"
@@ -64,10 +67,12 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _cut(self, part: list[str], ids: np.ndarray, stops: np.ndarray, gap: int, into: dict[str, bytes]) -> None:
-        raw, at = ids.tobytes(), 0
-        for word, stop in zip(part, stops.tolist(), strict=True):
-            into[word] = raw[4 * at : 4 * stop]
-            at = stop + gap
+        raw, ends = ids.tobytes(), (4 * stops).tolist()
+        starts = [0, *(end + 4 * gap for end in ends)]
+        pieces = [raw[a:b] for a, b in zip(starts, ends, strict=False)]
+        if len(pieces) != len(part):
+            raise ValueError("the tokenizer splits words otherwise than assumed")
+        into.update(zip(part, pieces, strict=True))
 
     def _learn(self, unknown: list[str], into: dict[str, bytes]) -> None:
         """Encode distinct words, thousands in one call.
@@ -89,12 +94,12 @@ class WordEncoder:
                     other.add(tail)
             else:
                 other.add(word)
-        plain = list(letters)
-        for start in range(0, len(plain), 4096):
-            part = plain[start : start + 4096]
-            (encoding,) = self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(encoding.ids, dtype="<u4")
-            self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0, into)
+        for model, plain in ((self.ascii, [w for w in letters if w.isascii()]), (self.bare, [w for w in letters if not w.isascii()])):
+            for start in range(0, len(plain), 4096):
+                part = plain[start : start + 4096]
+                (encoding,) = model.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+                ids = np.array(encoding.ids, dtype="<u4")
+                self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0, into)
         plain = [w for w in other if "<|" not in w]
         for start in range(0, len(plain), 2048):
             part = plain[start : start + 2048]
@@ -126,7 +131,9 @@ class WordEncoder:
         self._learn(unknown[:room], known)
         known.rest = rest = {}
         self._learn(unknown[room:], rest)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        known.rest = {}
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
