@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Edges to a partition, so that small rounds don't write hundreds of tiny files.
+EDGES_A_PARTITION = 200_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang the neighbours of every node on the least of them.
@@ -31,13 +34,16 @@ def components(edges: DataFrame) -> DataFrame:
     round is written to the shared folder, so plans stay short and lost executors cost one round.
     """
 
+    spark = edges.sparkSession
+
     def stamp(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     current = materialize(edges.where("u <> v").select("u", "v"), "edges")
     before = stamp(current)
     while before[0]:
-        current = materialize(_star(materialize(_star(current, True), "large-star"), False), "small-star")
+        parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + before[0] // EDGES_A_PARTITION)
+        current = materialize(_star(_star(current, True), False).coalesce(parts), "stars")
         after = stamp(current)
         if after == before:
             break

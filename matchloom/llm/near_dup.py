@@ -80,7 +80,7 @@ def group(docs: DataFrame) -> DataFrame:
     roots = components(links(nodes.select("fp")))
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(labelled.join(least, "root").select("fp", "component_id"), "named-fingerprints")
+    named = labelled.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
