@@ -218,7 +218,8 @@ def _(r: Records) -> DataFrame:
 @_records("jaro_winkler")
 def _(r: Records) -> DataFrame:
     rich = features.enrich(blocking.six_rules(r.s1, r.targets), r.s1, r.targets)
-    return rich.select(*PAIR, _rounded(scorers.score(F.col("a.name_norm"), F.col("b.name_norm"), ("jaro_winkler",))["jaro_winkler"], "jaro_winkler"))
+    a, b = (F.regexp_replace(f"{x}.name_norm", r"[^\x00-\x7F]", "?") for x in "ab")  # the SQL function compares bytes
+    return rich.select(*PAIR, _rounded(scorers.score(a, b, ("jaro_winkler",))["jaro_winkler"], "jaro_winkler"))
 
 
 @_records("indel_ratio")

@@ -255,7 +255,7 @@ _PLAIN = {
     "candidate_stats_index": "SELECT round(avg(n), 6) AS mean, round(median(n), 6) AS median, list_sort(list(n))[least(CAST(floor(0.95 * count(*)) AS BIGINT), count(*) - 1) + 1] AS p95, max(n) AS max FROM counts WHERE n > 0",
     "features_set": _features(SET_COLUMNS),
     "features_exact_length": _features(EXACT_COLUMNS),
-    "jaro_winkler": f"SELECT {_IDS}, round(jaro_winkler_similarity(a.name_norm, b.name_norm), 6) AS jaro_winkler FROM six_rich",
+    "jaro_winkler": f"SELECT {_IDS}, round(jaro_winkler_similarity(regexp_replace(a.name_norm, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(b.name_norm, '[^\\x00-\\x7F]', '?', 'g')), 6) AS jaro_winkler FROM six_rich",
     "heuristic_sql_jaccard": f"SELECT {_IDS}, score FROM scored",
     "heuristic_sql_boolean": f"SELECT {_IDS}, {_BOOLEAN} AS score FROM six_rich",
     "heuristic_feature_light": _weighted(100, 100, 20, 10, 5, 5),
