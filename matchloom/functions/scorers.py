@@ -43,16 +43,12 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / total if total else 1.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with any window of its length on the longer one, cut at both ends too."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
+def _best_window(short: str, long: str) -> float:
     n = len(short)
-    if not n:
-        return 1.0 if not long else 0.0
     masks, best = _masks(short), 0.0
     for end in range(1, len(long) + n):
         window = long[max(0, end - n) : end]
-        if window[0 if end > len(long) else -1] not in masks:  # a window that a border outside could only improve
+        if window[0 if end > len(long) else -1] not in masks:  # without that border the window could only be better
             continue
         best = max(best, 2 * _common(masks, n, window) / (n + len(window)))
         if best == 1.0:
@@ -60,6 +56,15 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """Best ratio of the shorter text with any window of its length on the longer one, cut at both ends too."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short:
+        return 1.0 if not long else 0.0
+    best = _best_window(short, long)
+    return max(best, _best_window(long, short)) if len(a) == len(b) else best
+
+
 def token_sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 

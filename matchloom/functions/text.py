@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What Unicode-aware word characters are, spelled so that Java and RE2 agree.
 OTHER = r"[^\p{L}\p{N}_\s'-]"
@@ -20,7 +21,7 @@ NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)?"
 ABBREVIATIONS = {"rd": "road", "st": "street", "ave": "avenue", "blvd": "boulevard", "ln": "lane"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 

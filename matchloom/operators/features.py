@@ -11,6 +11,9 @@ from ..schema import BLOCKERS, PAIR, LinkageError, SchemaError
 
 RECORD = ("business_name", "business_address", "country", "name_norm", "name_compact", "name_tokens", "address_norm", "address_compact", "address_tokens", "address_numbers")
 
+NUMERIC = ("numeric_count_1", "numeric_count_2", "numeric_overlap_count", "numeric_jaccard", "numeric_exact_match", "numeric_any_overlap")
+COUNTRY = ("country_exact", "country_norm_exact", "country_code_exact", "country_both_present", "country_missing_1", "country_missing_2")
+
 
 def enrich(pairs: DataFrame, s1: DataFrame, targets: DataFrame, strict: bool = False) -> DataFrame:
     """Pairs with both records as structs `a` and `b`; `strict` refuses pairs whose record is missing."""
@@ -71,20 +74,14 @@ def address_features() -> dict[str, Column]:
 def numeric_features() -> dict[str, Column]:
     a, b = (arrays.as_set(_field(s, "address_numbers")) for s in "ab")
     shared = arrays.overlap(a, b)
-    return {
-        "numeric_count_1": F.size(a),
-        "numeric_count_2": F.size(b),
-        "numeric_overlap_count": shared,
-        "numeric_jaccard": arrays.jaccard(a, b),
-        "numeric_exact_match": _flag((F.size(a) > 0) & (F.size(b) > 0) & (shared == F.size(a)) & (shared == F.size(b))),
-        "numeric_any_overlap": _flag(shared > 0),
-    }
+    same = _flag((F.size(a) > 0) & (F.size(b) > 0) & (shared == F.size(a)) & (shared == F.size(b)))
+    return dict(zip(NUMERIC, (F.size(a), F.size(b), shared, arrays.jaccard(a, b), same, _flag(shared > 0)), strict=True))
 
 
 def country_features() -> dict[str, Column]:
     a, b = (F.lower(strip(present(_field(s, "country")))) for s in "ab")
     same = _equal(a, b)
-    return {"country_exact": same, "country_norm_exact": same, "country_code_exact": same, "country_both_present": _flag((a != "") & (b != "")), "country_missing_1": _flag(a == ""), "country_missing_2": _flag(b == "")}
+    return dict(zip(COUNTRY, (same, same, same, _flag((a != "") & (b != "")), _flag(a == ""), _flag(b == "")), strict=True))
 
 
 def lexical_features(field: str, prefix: str, scores: str) -> dict[str, Column]:

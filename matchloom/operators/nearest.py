@@ -88,13 +88,14 @@ def dense_blocker(s1: DataFrame, targets: DataFrame, top_k: int = 50, vector: st
         return m / np.where(norm == 0, 1, norm)
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        plain = lambda ids: np.array(ids.tolist(), dtype=object)
         if a.empty or b.empty:
-            return pd.DataFrame({PAIR[0]: [], PAIR[1]: [], "similarity": []})
+            return pd.DataFrame({PAIR[0]: np.array([], dtype=object), PAIR[1]: np.array([], dtype=object), "similarity": np.zeros(0)})
         b = b.sort_values("id")
         similar = unit(a["v"]) @ unit(b["v"]).T
         k = min(top_k, len(b))
         best = np.argsort(-np.round(similar, 9), axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({PAIR[0]: np.repeat(a["id"].to_numpy(), k), PAIR[1]: b["id"].to_numpy()[best.ravel()], "similarity": np.take_along_axis(similar, best, axis=1).ravel()})
+        return pd.DataFrame({PAIR[0]: np.repeat(plain(a["id"]), k), PAIR[1]: plain(b["id"])[best.ravel()], "similarity": np.take_along_axis(similar, best, axis=1).ravel()})
 
     pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, f"{PAIR[0]} string, {PAIR[1]} string, similarity double")
     order = Window.partitionBy(PAIR[0]).orderBy(F.round("similarity", 9).desc(), PAIR[1])

@@ -189,7 +189,7 @@ def _(r: Records) -> DataFrame:
     return s.select(_rounded("mean", "mean"), _rounded("median", "median"), "p95", "max")
 
 
-SET_COLUMNS = ("name_token_jaccard", "address_token_jaccard", *features.numeric_features(), *features.country_features(), "name_lexical_token_count_1", "name_lexical_token_count_2", "name_lexical_token_overlap_count", "address_lexical_lexical_token_jaccard", "candidate_is_s2", "candidate_is_s3")
+SET_COLUMNS = ("name_token_jaccard", "address_token_jaccard", *features.NUMERIC, *features.COUNTRY, "name_lexical_token_count_1", "name_lexical_token_count_2", "name_lexical_token_overlap_count", "address_lexical_lexical_token_jaccard", "candidate_is_s2", "candidate_is_s3")
 EXACT_COLUMNS = tuple(f"{f}_{c}" for f in ("name", "address") for c in ("exact", "norm_exact", "compact_exact", "length_1", "length_2", "length_diff", "compact_length_1", "compact_length_2", "compact_length_diff")) + ("address_missing_1", "address_missing_2", "address_both_missing")
 
 
