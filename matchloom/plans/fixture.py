@@ -40,15 +40,28 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LOADED: dict[tuple[str, str, str], Records] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, mode: str = "portable") -> Records:
+    """The records of a folder, normalized once a session and kept (memory, then disk) for all queries over it."""
+    key = (spark.sparkContext.applicationId, sf_dir, mode)
+    if key not in _LOADED:
+        _LOADED[key] = _load(spark, sf_dir, mode)
+    return _LOADED[key]
+
+
+def _load(spark: SparkSession, sf_dir: str, mode: str) -> Records:
     raw = raw_records(spark, sf_dir)
-    full = normalize(raw, mode)
+    if raw.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a file of one row group, else all work of one core
+        raw = raw.repartition(spark.sparkContext.defaultParallelism, "entity_id")
+    full = normalize(raw, mode).persist()
     s1, s2, s3 = (full.where(F.col("tag") == t) for t in ("S1", "S2", "S3"))
-    left = raw.where("tag = 'S1'").select(F.col("entity_id").alias(PAIR[0]), "beginning")
-    right = raw.where("tag <> 'S1'").select(F.col("entity_id").alias(PAIR[1]), "beginning")
+    left = s1.select(F.col("entity_id").alias(PAIR[0]), "beginning")
+    right = full.where("tag <> 'S1'").select(F.col("entity_id").alias(PAIR[1]), "beginning")
     matched = left.join(right, "beginning").groupBy(PAIR[0]).agg(F.array_sort(F.collect_set(PAIR[1])).alias("matched"))
     truth = left.select(PAIR[0]).join(matched, PAIR[0], "left").select(PAIR[0], F.coalesce("matched", F.array().cast("array<string>")).alias("matched"))
-    return Records(raw, s1, s2, s3, targets(s2, s3), truth)
+    return Records(full, s1, s2, s3, targets(s2, s3), truth)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
