@@ -24,7 +24,6 @@ from .common import documents, materialize
 
 SEED = 20
 MAX_REPEATS = 3
-BUCKETS = 4096
 MAX_PATTERNS = 100_000
 
 
@@ -106,7 +105,9 @@ def _pattern(memberships: Any) -> Column:
 
 
 def _spot(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)))
+    """60 bits of an md5, which SQL engines share."""
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def measured(docs: DataFrame, memberships: Any = None, seed: int = SEED) -> DataFrame:
@@ -134,7 +135,7 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = M
     for p, words in capacity.items():
         through = sum(sent[p].values())
         whole = min(most, int(through // words)) if words else 0
-        more = round(through - whole * words) if whole < most else 0
+        more = int(through - whole * words + 0.5) if whole < most else 0
         taken.append((list(p), whole, more, [own[s] for s in p], [wanted[s] for s in p]))
     # The bucket in which the words taken once more end, and the words before it.
     shares = F.broadcast(sized.sparkSession.createDataFrame([(t[0], t[2]) for t in taken], "pattern array<string>, more long"))
@@ -150,7 +151,7 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = M
 
 
 def _bucket() -> Column:
-    return F.shiftrightunsigned("spot", 52).cast("int")  # BUCKETS of them
+    return F.shiftright("spot", 48).cast("int")  # 4096 of them
 
 
 def with_copies(rows: DataFrame, planned: Plan) -> DataFrame:
@@ -180,4 +181,4 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), membersh
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", F.col("source_size")[0].alias("source_size"), F.col("target")[0].alias("target"), "taken", "copies")
+    return mixed.select("doc_id", "size", F.col("source_size")[0].alias("source_size"), F.col("target")[0].alias("target"), "taken")

@@ -15,6 +15,7 @@ from .packing import op3_best_fit_packing
 from .quality import op1_quality_classifier
 from .rules import op9_quality_rules
 from .secrets import op8_secret_scans
+from .sql import SQL
 from .wavelet import op5_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
