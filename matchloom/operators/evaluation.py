@@ -72,6 +72,21 @@ def recall_report(cut: DataFrame, truth: DataFrame, entities: DataFrame, ks: lis
     return rows.groupBy("k").agg(F.sum("n").alias("n_pairs"), (F.sum("n_found") / F.sum("n_true")).alias("link_recall"), complete.alias("complete_recall"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.95)).alias("p95"), F.sum((F.col("n") == 0).cast("long")).alias("zeros"))
 
 
+def compare(blocked: dict[str, DataFrame], truth: DataFrame, entities: DataFrame) -> DataFrame:
+    """The report of each named candidate table (name, pairs, recalls, counts), in one plan. `truth` are pairs."""
+    cut = None
+    for name, candidates in blocked.items():
+        tagged = candidates.select(*PAIR).distinct().withColumn("k", F.lit(name))
+        cut = tagged if cut is None else cut.unionByName(tagged)
+    return recall_report(cut, truth, entities, [F.lit(name) for name in blocked]).withColumnRenamed("k", "name")
+
+
+def union_report(truth: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: both recalls and the counts per entity that has candidates."""
+    counts = candidates.select(*PAIR).distinct().groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n"))
+    return recalls(truth, candidates).crossJoin(index_stats(counts))  # one row each
+
+
 def _f05(tp: Column, predicted: Column, true: Column) -> tuple[Column, Column, Column]:
     precision = F.when(predicted > 0, tp / predicted).otherwise(0.0)
     recall = F.when(true > 0, tp / true).otherwise(0.0)

@@ -93,6 +93,13 @@ def _numbered(groups: DataFrame, group: str, order: list) -> DataFrame:
     return groups.sparkSession.createDataFrame(ordered, f"{group} {groups.schema[group].dataType.simpleString()}, place long")
 
 
+def batches(entities: DataFrame, size: int, key: str = "entity_id") -> DataFrame:
+    """key, batch: runs of `size` entities in order of the key. Spark needs none to run; writers and readers may."""
+    if size < 1:
+        raise LinkageError("size must be positive")
+    return _numbered(entities.select(key).distinct(), key, [F.col(key)]).select(key, F.floor(F.col("place") / size).alias("batch"))
+
+
 def split_groups(df: DataFrame, shares: tuple[float, ...], group: str = PAIR[0], seed: int = 42) -> list[DataFrame]:
     """Frames whose groups don't overlap: ceil(share) of all groups for every share after the first, the rest for it."""
     if any(not 0 < s < 1 for s in shares[1:]) or sum(shares[1:]) >= 1:

@@ -268,6 +268,24 @@ def _(r: Records) -> DataFrame:
     return out.select("k", "n_pairs", *[_rounded(c, c) for c in ("link_recall", "complete_recall", "mean", "p95")], "zeros")
 
 
+@_records("prefix_comparison")
+def _(r: Records) -> DataFrame:
+    existing, prefix = blocking.three_rules(r.s1, r.targets), blocking.prefix_pairs(r.s1, r.targets)
+    out = evaluation.compare({"existing": existing, "prefix": prefix, "combined": existing.union(prefix)}, evaluation.truth_pairs(r.truth), r.s1)
+    return out.select("name", "n_pairs", *[_rounded(c, c) for c in ("link_recall", "complete_recall", "mean", "p95")], "zeros")
+
+
+@_records("union_report")
+def _(r: Records) -> DataFrame:
+    out = evaluation.union_report(r.truth, _united(r))
+    return out.select(*[_rounded(c, c) for c in ("link_recall", "complete_recall", "mean", "median")], "p95", "max")
+
+
+@_records("batch_ids")
+def _(r: Records) -> DataFrame:
+    return pairs.batches(r.s1, 50)
+
+
 @_records("link_recall")
 def _(r: Records) -> DataFrame:
     return evaluation.recalls(r.truth, blocking.six_rules(r.s1, r.targets)).select(_rounded("link_recall", "link_recall"))

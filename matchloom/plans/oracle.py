@@ -144,6 +144,8 @@ def _lists(cte: str, column: str) -> str:
     return f"SELECT entity_id AS source1_entity_id, coalesce(string_agg(c, ',' ORDER BY c), '') AS {column} FROM s1 LEFT JOIN {cte} x ON x.s = s1.entity_id GROUP BY entity_id"
 
 
+CTES["prefixed"] = _prefix(5, 8, None).replace("AS source1_entity_id", "AS s").replace("AS candidate_entity_id", "AS c")
+CTES["combined"] = "SELECT s, c FROM three UNION SELECT s, c FROM prefixed"
 CTES["counts"] = "SELECT entity_id AS s, count(c) AS n FROM s1 LEFT JOIN six x ON x.s = s1.entity_id GROUP BY entity_id"
 _RATIO = "CASE WHEN {1} > 0 THEN {0} * 1.0 / {1} ELSE 0.0 END"
 CTES["judged"] = """SELECT truth.s, count(tp.c) FILTER (x.c IS NOT NULL) AS tp, (SELECT count(*) FROM matches q WHERE q.s = truth.s) AS np, count(tp.c) AS nt
@@ -265,6 +267,12 @@ _PLAIN = {
         f"SELECT {k} AS k, CAST(sum(n) AS BIGINT) AS n_pairs, round(sum(f) * 1.0 / sum(nt), 6) AS link_recall, round(avg(CASE WHEN nt > 0 THEN CAST(f = nt AS DOUBLE) END), 6) AS complete_recall, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.95), 6) AS p95, count(*) FILTER (n = 0) AS zeros FROM (SELECT truth.s, (SELECT count(*) FROM ranked q WHERE q.s = truth.s AND rank <= {k}) AS n, (SELECT count(*) FROM tp q WHERE q.s = truth.s) AS nt, (SELECT count(*) FROM tp q JOIN ranked r USING (s, c) WHERE q.s = truth.s AND rank <= {k}) AS f FROM truth)"
         for k in (5, 10, 20, 50)
     ),
+    "prefix_comparison": " UNION ALL ".join(
+        f"SELECT '{n}' AS name, CAST(sum(n) AS BIGINT) AS n_pairs, round(sum(f) * 1.0 / sum(nt), 6) AS link_recall, round(avg(CASE WHEN nt > 0 THEN CAST(f = nt AS DOUBLE) END), 6) AS complete_recall, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.95), 6) AS p95, count(*) FILTER (n = 0) AS zeros FROM (SELECT truth.s, (SELECT count(*) FROM {c} q WHERE q.s = truth.s) AS n, (SELECT count(*) FROM tp q WHERE q.s = truth.s) AS nt, (SELECT count(*) FROM tp q JOIN {c} r USING (s, c) WHERE q.s = truth.s) AS f FROM truth)"
+        for n, c in (("existing", "three"), ("prefix", "prefixed"), ("combined", "combined"))
+    ),
+    "union_report": "SELECT (SELECT round(count(u.c) * 1.0 / count(*), 6) FROM tp LEFT JOIN united u ON u.s = tp.s AND u.c = tp.c) AS link_recall, (SELECT round(avg(ok), 6) FROM (SELECT CAST(count(u.c) = count(*) AS INTEGER) AS ok FROM tp LEFT JOIN united u ON u.s = tp.s AND u.c = tp.c GROUP BY tp.s)) AS complete_recall, round(avg(n), 6) AS mean, round(median(n), 6) AS median, list_sort(list(n))[least(CAST(floor(0.95 * count(*)) AS BIGINT), count(*) - 1) + 1] AS p95, max(n) AS max FROM (SELECT s, count(*) AS n FROM united GROUP BY s)",
+    "batch_ids": "SELECT entity_id, CAST(floor((row_number() OVER (ORDER BY entity_id) - 1) / 50) AS BIGINT) AS batch FROM s1",
     "link_recall": "SELECT round(count(six.c) * 1.0 / count(*), 6) AS link_recall FROM tp LEFT JOIN six ON six.s = tp.s AND six.c = tp.c",
     "complete_recall": "SELECT round(avg(ok), 6) AS complete_recall FROM (SELECT tp.s, CAST(count(six.c) = count(*) AS INTEGER) AS ok FROM tp LEFT JOIN six ON six.s = tp.s AND six.c = tp.c GROUP BY tp.s)",
     "per_entity_recall": "SELECT truth.s AS source1_entity_id, count(tp.c) AS n_true, count(x.c) AS n_found, CASE WHEN count(tp.c) > 0 THEN round(count(x.c) * 1.0 / count(tp.c), 6) END AS recall FROM truth LEFT JOIN tp ON tp.s = truth.s LEFT JOIN three x ON x.s = tp.s AND x.c = tp.c GROUP BY truth.s",

@@ -2,7 +2,7 @@ import pytest
 
 from matchloom.operators import blocking
 from matchloom.operators.normalize import normalize, targets
-from matchloom.plans import catalog, oracle
+from matchloom.plans import catalog, oracle, prepare
 from matchloom.schema import PAIR, LinkageError, SchemaError
 from matchloom.sources import readers, writers
 from matchloom.streaming import incremental
@@ -77,3 +77,14 @@ def test_stream_gives_the_rows_of_a_batch(spark, tmp_path):
 def test_every_oracle_has_a_query():
     assert set(oracle.SQL) <= set(catalog.QUERIES)
     assert set(catalog.QUERIES) - set(oracle.SQL) == {"normalize_full_unicode", "features_full", "indel_ratio", "train_and_score", "feature_importance", "full_pipeline"}
+
+
+def test_prepare(spark, tmp_path):
+    for part in ("train", "test"):
+        (tmp_path / part).mkdir()
+        for name, file in readers.FILES.items():
+            put(tmp_path / part / file, HEAD + f"{name}-1\tＡcme\t1 rd\tUS\n")
+    put(tmp_path / "train" / prepare.TRUTH_FILE, "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\n")
+    paths = prepare.prepare(spark, str(tmp_path / "train"), str(tmp_path / "test"), str(tmp_path / "out"))
+    assert len(paths) == 7
+    assert spark.read.parquet(paths[0]).first()["name_norm"] == "acme" and spark.read.parquet(paths[-1]).count() == 1

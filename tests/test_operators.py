@@ -182,6 +182,18 @@ def test_recall_and_stats(spark, sources, truth):
     assert {r[0] for r in evaluation.zero_candidates(s1, candidates).collect()} == {"S1-3", "S1-4"}
 
 
+def test_reports_and_batches(spark, sources, truth):
+    s1, t = sources
+    a, b = blocking.three_rules(s1, t), blocking.six_rules(s1, t)
+    rows = {r["name"]: r for r in evaluation.compare({"a": a, "b": b}, evaluation.truth_pairs(truth), s1).collect()}
+    assert rows["a"]["n_pairs"] == a.count() and rows["b"]["link_recall"] == 1.0 and rows["b"]["zeros"] == 2
+    r = evaluation.union_report(truth, b).first()
+    assert (r["link_recall"], r["complete_recall"], r["max"]) == (1.0, 1.0, 3)
+    assert {x[0]: x[1] for x in pairs.batches(s1, 3).collect()} == {"S1-1": 0, "S1-2": 0, "S1-3": 0, "S1-4": 1}
+    with pytest.raises(LinkageError):
+        pairs.batches(s1, 0)
+
+
 def test_f05(spark, truth):
     predicted = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-3"), ("S1-3", "S2-1")], f"{PAIR[0]} string, {PAIR[1]} string")
     rows = {r[0]: (r["tp"], r["fp"], r["fn"], r["f05"]) for r in evaluation.entity_f05(truth, predicted).collect()}
