@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import MAX_REPEATS, SEED
 from .rules import LEAST_KEPT, MIN_DOCS, SHARE
+from .secrets import ACCESS, ASSIGN, CANDIDATE, ENCODINGS, FDR, HEX, SHORTEST_VALUE, UNIFORM_LEVEL
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -49,4 +50,51 @@ FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY spot) AS upto FROM
 """
 
 
-SQL = {"op9_quality_rules": RULES, "op10_mixing": mixing()}
+def _matches(name: str, rank: int, pattern: str, group: int = 0) -> str:
+    """Spans of all matches: what a split leaves between them gives their places."""
+    p = pattern.replace("'", "''")
+    lengths = lambda x, end: f"coalesce(list_sum(list_transform({x}[1:{end}], lambda g: length(g))), 0)"
+    start = f"{lengths('gaps', 'i')} + {lengths('whole', 'i - 1')}"
+    found = f"SELECT doc_id, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS whole, regexp_extract_all(text, '{p}', {group}) AS bodies FROM d WHERE regexp_matches(text, '{p}')"
+    return f"{name} AS (SELECT doc_id, CAST({start} AS BIGINT) AS s, {rank} AS k, CAST({start} + length(whole[i]) AS BIGINT) AS e, bodies[i] AS body FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM ({found})))"
+
+
+def _chosen(column: int) -> str:
+    quoted = lambda v: f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)"
+    cases = " ".join(f"WHEN regexp_matches(body, '{e[1]}') THEN {quoted(e[column])}" for e in ENCODINGS[:-1])
+    return f"CASE {cases} ELSE {quoted(ENCODINGS[-1][column])} END"
+
+
+def _tail(z: str) -> str:
+    z = f"least(greatest({z}, -8.0), 8.0)"
+    return f"(1 / (1 + exp(1.5976 * {z} + 0.070565992 * {z} * {z} * {z})))"
+
+
+def secrets() -> str:
+    kinds = "['assign', 'access', 'hex', 'random']"
+    text = lambda of: f"coalesce(string_agg({kinds}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k){of}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{_matches("m0", 0, ASSIGN, 2)},
+{_matches("m1", 1, ACCESS)},
+{_matches("m2", 2, HEX)},
+{_matches("m3", 3, CANDIDATE)},
+base AS (SELECT * FROM m0 WHERE length(body) >= {SHORTEST_VALUE} UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2),
+free AS (SELECT * FROM m3 WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m3.doc_id AND b.s < m3.e AND m3.s < b.e)),
+coded AS (SELECT doc_id, s, k, e, {_chosen(2)} AS alphabet, {_chosen(3)} AS ic, CASE WHEN regexp_matches(body, '{ENCODINGS[1][1]}') THEN lower(body) ELSE body END AS body FROM free),
+chars AS (SELECT doc_id, s, i, CAST(instr(alphabet, substr(body, i, 1)) - 1 AS DOUBLE) AS v, length(alphabet) AS size FROM (SELECT *, unnest(range(1, length(body) + 1)) AS i FROM coded)),
+pairs AS (SELECT *, (size - 1) / 2.0 AS middle, lead(v) OVER (PARTITION BY doc_id, s ORDER BY i) AS w FROM chars),
+tested AS (SELECT doc_id, s, CAST(max(size) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER ((v > middle) <> (w > middle)) AS DOUBLE) AS changes, CAST(coalesce(sum((v - middle) * (w - middle)), 0) AS DOUBLE) AS lagged FROM pairs GROUP BY doc_id, s),
+squares AS (SELECT doc_id, s, CAST(sum(c * c) AS DOUBLE) AS squares FROM (SELECT doc_id, s, v, count(*) AS c FROM chars GROUP BY doc_id, s, v) GROUP BY doc_id, s),
+stats AS (SELECT doc_id, s, t.k, n, ic, k - 1 AS df, t.k / n * squares - n AS chi, (changes - (n - 1) / 2) / sqrt((n - 1) / 4) AS z_runs, lagged / ((t.k * t.k - 1) / 12 * sqrt(n - 1)) AS z_serial, n * greatest(t.k * ic - 1, 0.0) AS excess
+  FROM tested t JOIN squares USING (doc_id, s) JOIN (SELECT doc_id, s, ic FROM coded) USING (doc_id, s)),
+judged AS (SELECT doc_id, s, least(1.0, 3 * least({_tail("(pow(greatest(chi, 0.0) / df, CAST(1 AS DOUBLE) / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df))")}, 2 * {_tail("abs(z_runs)")}, 2 * {_tail("abs(z_serial)")})) AS uniform, {_tail("(df + excess - chi) / sqrt(2 * (df + 2 * excess))")} AS p FROM stats),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, uniform, s) AS i, count(*) OVER (PARTITION BY doc_id) AS m FROM judged),
+found AS (SELECT doc_id, s FROM (SELECT *, max(CASE WHEN p <= i * CAST({FDR} AS DOUBLE) / m THEN i ELSE 0 END) OVER (PARTITION BY doc_id) AS last FROM placed) WHERE i <= last AND uniform >= CAST({UNIFORM_LEVEL} AS DOUBLE)),
+spans AS (SELECT doc_id, s, k, e FROM base UNION ALL SELECT doc_id, s, k, e FROM coded SEMI JOIN found USING (doc_id, s))
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, sha256({text(" FILTER (k < 3)")}) AS base_sha256, {text("")} AS spans, count(*) FILTER (k = 3) AS n_random
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+"""
+
+
+SQL = {"op8_secret_scans": secrets(), "op9_quality_rules": RULES, "op10_mixing": mixing()}
