@@ -1,8 +1,9 @@
 r"""Operator 4, language-model scores: the cross-entropy difference of two matched bigram models.
 
-Tokens are words `[^\x20\x09-\x0D]+` with A-Z in lower case. The models share one vocabulary, the `VOCABULARY` most
-frequent words of all documents (ties by hash; every other word is the unknown word), and one set of bigrams: those that
-make up `HEAVY` or more of all tokens, of which there can be no more than 1 / HEAVY. The background model has the counts
+Tokens are words `[^\x20\x09-\x0D]+` with A-Z in lower case. The models share one vocabulary, the words that all documents
+have `RARE` times or more, from the most frequent ones down to the last count at which no more than `VOCABULARY` have that
+count or more (every other word is the unknown word), and one set of bigrams: those that make up `HEAVY` or more of all
+tokens, of which there can be no more than 1 / HEAVY. The background model has the counts
 of all documents, the target model those of documents labelled quality 1 and toxic 0. A bigram's discounted share is
 interpolated with smoothed word frequencies, so both models sum to one over the vocabulary. A document's score is the
 mean over its tokens of the target's loss less the background's, in nats: below 0 it resembles the target more.
@@ -30,18 +31,13 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, documents, materialize, table
 
 VOCABULARY = 65_535
+RARE = 2
 HEAVY = 2.0**-20
 DISCOUNT = 0.5
 #: Distinct words, or bigram tokens, that a task holds before it passes its partial counts on.
 FLUSH = 1 << 20
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">i8").astype(np.int64)
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """word_hash, word, n: all words with their counts."""
 
@@ -142,12 +138,21 @@ def bigram_counts(docs: DataFrame, ids: Any, size: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, heavy: float = HEAVY) -> Models:
     spark = docs.sparkSession
-    top = word_counts(docs).orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(vocabulary)
-    words = [bytes(r["word"]) for r in top.select("word").collect()]  # at most `vocabulary` rows
+    counted = materialize(word_counts(docs).where(F.col("n") >= RARE), "words")
+    # How many words have each count: fewer rows than the square root of twice the tokens.
+    least, held = None, 0
+    for n, words_of_it in sorted(map(tuple, counted.groupBy("n").count().collect()), reverse=True):
+        held += words_of_it
+        if held > vocabulary:
+            break
+        least = n
+    chosen = counted.where(F.col("n") >= least).collect() if least else []  # at most `vocabulary` rows
+    words = [bytes(r["word"]) for r in sorted(chosen, key=lambda r: (-r["n"], r["word"]))]
     size = len(words) + 1
     ids = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
     wanted = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
-    flagged = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # Labels grow with the documents: the plan that holds at any size is used at every size.
+    flagged = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = materialize(bigram_counts(flagged, ids, size), "bigrams")
     tokens = counts.where("key < 0").agg(F.sum("n")).first()[0] or 0
     least = max(1.0, heavy * tokens)
