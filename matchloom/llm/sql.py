@@ -20,8 +20,8 @@ lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS li
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 normal AS (SELECT doc_id, source, text, {_LINE} AS line, length(trim(line)) AS chars FROM lines WHERE length(trim(line)) > 0),
 hosts AS (SELECT source, count(DISTINCT text) AS texts FROM normal GROUP BY source),
-common AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM normal GROUP BY source, line) JOIN hosts USING (source) WHERE n > {MIN_DOCS} AND n > CAST({SHARE} AS DOUBLE) * texts),
-share AS (SELECT doc_id, CAST(sum(chars) FILTER (hit) AS DOUBLE) / sum(chars) AS gone FROM (SELECT doc_id, chars, (source, line) IN (SELECT (source, line) FROM common) AS hit FROM normal) GROUP BY doc_id),
+common AS (SELECT c.source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM normal GROUP BY source, line) c JOIN hosts ON c.source IS NOT DISTINCT FROM hosts.source WHERE n > {MIN_DOCS} AND n > CAST({SHARE} AS DOUBLE) * texts),
+share AS (SELECT doc_id, CAST(sum(chars) FILTER (hit) AS DOUBLE) / sum(chars) AS gone FROM (SELECT doc_id, chars, EXISTS (SELECT 1 FROM common WHERE common.line = normal.line AND common.source IS NOT DISTINCT FROM normal.source) AS hit FROM normal) GROUP BY doc_id),
 base AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone, 0.0) AS boilerplate_share
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN share USING (doc_id))
@@ -43,10 +43,10 @@ sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS own, (row_number() OVER
 whole AS (SELECT CAST(sum(own) AS DOUBLE) AS total FROM sources),
 {", ".join(steps)},
 wanted AS (SELECT source, own, coalesce(fixed, {last}) AS target FROM t{rounds}, whole),
-split AS (SELECT *, least({MAX_REPEATS}, CAST(floor(target / own) AS BIGINT)) AS times FROM wanted),
+split AS (SELECT *, CASE WHEN own > 0 THEN least({MAX_REPEATS}, CAST(floor(target / own) AS BIGINT)) ELSE 0 END AS times FROM wanted),
 shares AS (SELECT *, CASE WHEN times < {MAX_REPEATS} THEN CAST(floor(target - times * own + 0.5) AS BIGINT) ELSE 0 END AS more FROM split)
 SELECT doc_id, size, own AS source_size, target, CAST(size * (times + CASE WHEN more > 0 AND 2 * upto - size <= 2 * more THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY spot) AS upto FROM d) JOIN shares USING (source)
+FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY spot) AS upto FROM d) x JOIN shares ON x.source IS NOT DISTINCT FROM shares.source
 """
 
 
