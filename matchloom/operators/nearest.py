@@ -8,11 +8,14 @@ k, and a window merges them; no task holds more than two blocks.
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import PAIR, LinkageError
 
@@ -69,10 +72,37 @@ def tfidf_blocker(s1: DataFrame, targets: DataFrame, fields: tuple[str, ...] = (
     return best.join(sources, PAIR[1]).select(*PAIR, "source", F.lit("tfidf").alias("blocker"), F.lit(None).cast("array<string>").alias("evidence"), F.col("rank").cast("int").alias("rank"), F.col("similarity").alias("score"))
 
 
-def dense_blocker(s1: DataFrame, targets: DataFrame, top_k: int = 50, vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
-    """The `top_k` nearest targets of each record by cosine of `vector`; s1 has entity_id, targets candidate_entity_id."""
+#: Fields whose text is embedded, and what stands between them.
+DENSE_FIELDS, DENSE_SEPARATOR = ("name_norm", "address_norm", "country"), " | "
+
+
+def hashed_embedding(dimensions: int = 256, low: int = 2, high: int = 4) -> Callable[[Column], Column]:
+    """An embedding that needs no model: signed hashes of character n-grams. Any function from text to vectors can stand in."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> np.ndarray:
+            out, padded = np.zeros(dimensions, dtype=np.float32), f" {text or ''} ".lower()
+            for n in range(low, high + 1):
+                for i in range(len(padded) - n + 1):
+                    h = zlib.crc32(padded[i : i + n].encode())
+                    out[h % dimensions] += 1 if h >> 31 else -1
+            return out
+
+        return texts.map(one)
+
+    return embed
+
+
+def dense_blocker(s1: DataFrame, targets: DataFrame, top_k: int = 50, vector: str = "embedding", block_rows: int = 2048, embed: Callable[[Column], Column] | None = None, fields: tuple[str, ...] = DENSE_FIELDS) -> DataFrame:
+    """The `top_k` nearest targets of each record by cosine; s1 has entity_id, targets candidate_entity_id.
+
+    Vectors are the column `vector`, or what `embed` makes of the joined fields.
+    """
     if top_k < 1:
         raise LinkageError("top_k must be positive")
+    if embed is not None:
+        s1, targets = (df.withColumn(vector, embed(document(fields, DENSE_SEPARATOR))) for df in (s1, targets))
     counts = [max(1, math.ceil(df.count() / block_rows)) for df in (s1, targets)]
 
     def blocked(df: DataFrame, key: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:

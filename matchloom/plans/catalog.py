@@ -138,6 +138,16 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["dense_knn"] = _dense
 
 
+@_records("dense_text")
+def _(r: Records) -> DataFrame:
+    return nearest.dense_blocker(r.s1, r.targets, top_k=5, embed=nearest.hashed_embedding()).drop("evidence")
+
+
+@_records("generator")
+def _(r: Records) -> DataFrame:
+    return flows.generate(r.s1, r.targets, use_dense=True, top_k=10, embed=nearest.hashed_embedding())
+
+
 def _united(r: Records) -> DataFrame:
     return blocking.candidate_union(blocking.exact_blocker(r.s1, r.targets), blocking.rare_token_blocker(r.s1, r.targets), blocking.numeric_blocker(r.s1, r.targets))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import blocking, evaluation, features, model, nearest, pairs, ranking
@@ -24,13 +25,13 @@ def rule_flow(s1: DataFrame, targets: DataFrame, cap: int = 20, match_cap: int =
     return RuleFlow(candidates, blocking.rule_matches(s1, targets, candidates, match_cap))
 
 
-def generate(s1: DataFrame, targets: DataFrame, *, use_dense: bool = False, top_k: int = 50) -> DataFrame:
-    """United candidates of all blockers; `use_dense` needs an `embedding` column on both sides."""
+def generate(s1: DataFrame, targets: DataFrame, *, use_dense: bool = False, top_k: int = 50, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """United candidates of all blockers; `use_dense` needs an `embedding` column on both sides, or `embed`."""
     if targets.isEmpty():
         raise LinkageError("no targets")
     blocked = [blocking.exact_blocker(s1, targets), blocking.rare_token_blocker(s1, targets), blocking.numeric_blocker(s1, targets), nearest.tfidf_blocker(s1, targets, top_k=top_k)]
     if use_dense:
-        blocked.append(nearest.dense_blocker(s1, targets, top_k))
+        blocked.append(nearest.dense_blocker(s1, targets, top_k, embed=embed))
     return blocking.candidate_union(*blocked)
 
 

@@ -76,7 +76,7 @@ def test_stream_gives_the_rows_of_a_batch(spark, tmp_path):
 
 def test_every_oracle_has_a_query():
     assert set(oracle.SQL) <= set(catalog.QUERIES)
-    assert set(catalog.QUERIES) - set(oracle.SQL) == {"normalize_full_unicode", "features_full", "indel_ratio", "train_and_score", "feature_importance", "full_pipeline"}
+    assert set(catalog.QUERIES) - set(oracle.SQL) == {"normalize_full_unicode", "dense_text", "generator", "features_full", "indel_ratio", "train_and_score", "feature_importance", "full_pipeline"}
 
 
 def test_prepare(spark, tmp_path):

@@ -320,3 +320,10 @@ def test_generator_refuses_no_targets(sources):
     with pytest.raises(LinkageError):
         flows.generate(s1, t.limit(0))
     assert ids(flows.generate(s1, t)) >= ids(blocking.exact_blocker(s1, t))
+
+
+def test_generator_with_dense_text(sources):
+    s1, t = sources
+    rows = {(r[0], r[1]): r for r in flows.generate(s1, t, use_dense=True, top_k=2, embed=nearest.hashed_embedding()).collect()}
+    assert "dense" in rows["S1-1", "S2-1"]["blocker_provenance"] and rows["S1-1", "S2-1"]["ranks"]["dense"] == 1
+    assert rows["S1-2", "S2-2"]["ranks"]["tfidf"] == 1 and sum("dense" in r["blocker_provenance"] for r in rows.values()) == 8
