@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ THRESHOLD = 0.3
 FOLDS = 5
 #: Chunks whose responses are in memory at once.
 BLOCK = 256
+#: Texts of an Arrow batch that are Python objects at once.
+SLICE = 256
 
 
 class ByteNetwork:
@@ -149,27 +151,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNetwo
     return network
 
 
-def scorer(network: ByteNetwork):
-    """A pandas UDF from text to probability."""
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([network.score(t) for t in texts.tolist()], dtype="float64")
-
-    return score
+def _scores(network: ByteNetwork, texts: pa.Array) -> np.ndarray:
+    """Scores of a column, a slice at a time, so that few texts exist twice."""
+    return np.array([network.score(t) for start in range(0, len(texts), SLICE) for t in texts.slice(start, SLICE).to_pylist()], dtype=np.float64)
 
 
 def score_documents(docs: DataFrame, network: ByteNetwork, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(network)(F.coalesce("text", F.lit(""))).alias("score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array(_scores(network, batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
+    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, network: ByteNetwork, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the network accepts, with all their columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return rows.withColumn("score", scorer(network)(F.coalesce(F.col("row")["text"], F.lit("")))).where(F.col("score") >= threshold).select("row.*")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(network, batch.column(place)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
