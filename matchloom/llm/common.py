@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,19 @@ def words(text: Column) -> Column:
 def ascii_lower(text: str) -> bytes:
     """UTF-8 of a text with A-Z alone in lower case (bytes.lower leaves all other bytes)."""
     return text.encode("utf-8", "surrogatepass").lower()
+
+
+#: Rows of an Arrow batch that a Python worker handles at once.
+SLICE = 1536
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches; in the end the worker, which waits for its next task, gives unused memory back."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass

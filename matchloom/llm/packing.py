@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, slices
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -147,7 +147,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64).tolist()
         step = 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             keys, raws = batch.column(0).to_pylist(), codes.encode(batch.column(1).to_pylist())
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             for key, raw in zip(keys, raws, strict=True):

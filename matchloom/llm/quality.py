@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, slices, table
 
 FILTERS = 24
 WIDTH = 6
@@ -38,8 +38,6 @@ THRESHOLD = 0.3
 FOLDS = 5
 #: Chunks whose responses are in memory at once.
 BLOCK = 256
-#: Texts of an Arrow batch that are Python objects at once.
-SLICE = 256
 
 
 class ByteNetwork:
@@ -152,15 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNetwo
 
 
 def _scores(network: ByteNetwork, texts: pa.Array) -> np.ndarray:
-    """Scores of a column, a slice at a time, so that few texts exist twice."""
-    return np.array([network.score(t) for start in range(0, len(texts), SLICE) for t in texts.slice(start, SLICE).to_pylist()], dtype=np.float64)
+    return np.array([network.score(t) for t in texts.to_pylist()], dtype=np.float64)
 
 
 def score_documents(docs: DataFrame, network: ByteNetwork, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = pa.array(_scores(network, batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
 
@@ -174,7 +171,7 @@ def keep_good(docs: DataFrame, network: ByteNetwork, threshold: float = THRESHOL
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(_scores(network, batch.column(place)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

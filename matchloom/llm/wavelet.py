@@ -26,15 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, stage_path
+from .common import documents, materialize, slices, stage_path
 from .tokens import default_tokenizer, encoder
 
 MAGIC = b"WVM1"
 BLOCK = 1024
 #: Tokens after which a shard is closed; a single longer document makes a longer shard.
 SHARD_TOKENS = 1 << 20
-#: Rows of an Arrow batch that are encoded at once.
-SLICE = 1536
 
 
 class WaveletMatrix:
@@ -227,15 +225,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
             keys.clear()
             held = 0
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(start, SLICE)
-                for key, raw in zip(piece.column(0).to_pylist(), codes.encode(piece.column(1).to_pylist()), strict=True):
-                    keys.append(key)
-                    ids.append(raw + tail)
-                    held += len(raw) // 4 + 1
-                    if held >= shard_tokens:
-                        close()
+        for batch in slices(batches):
+            for key, raw in zip(batch.column(0).to_pylist(), codes.encode(batch.column(1).to_pylist()), strict=True):
+                keys.append(key)
+                ids.append(raw + tail)
+                held += len(raw) // 4 + 1
+                if held >= shard_tokens:
+                    close()
         if keys:
             close()
         if rows:
