@@ -1,5 +1,8 @@
 r"""Operator 4, language-model scores: the cross-entropy difference of two matched bigram models.
 
+The query scores by models of all words and all bigrams (`lm_corpus.py`). The models of this module have a bounded size
+instead, so that they can be broadcast; the query does not use them.
+
 Tokens are words `[^\x20\x09-\x0D]+` with A-Z in lower case. The models share one vocabulary, the words that all documents
 have `RARE` times or more, from the most frequent ones down to the last count at which no more than `VOCABULARY` have that
 count or more (every other word is the unknown word), and one set of bigrams: those that make up `HEAVY` or more of all
@@ -28,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lm_corpus
 from .common import ascii_lower, documents, materialize, table
 
 VOCABULARY = 65_535
@@ -184,4 +188,4 @@ def score_documents(docs: DataFrame, models: Models) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return lm_corpus.score_corpus(docs, table(spark, sf_dir, "labels"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.llm import lm_score, quality
+from matchloom.llm import lm_corpus, lm_score, quality
 
 
 def brute_scores(rows, targets, vocabulary, heavy):
@@ -144,3 +144,53 @@ def test_edge_rows(spark, docs, rows, empty):
     assert quality.score_documents(empty, network).count() == 0
     models = lm_score.train(empty, labels)
     assert lm_score.score_documents(empty, models).count() == 0
+
+
+def brute_whole(rows, targets):
+    """Scores under models of every word and every bigram."""
+    lists = [(t or "").encode().lower().split() for _, t in rows]
+    size, models = len({w for ws in lists for w in ws}), []
+    for chosen in (lists, [ws for ws, (d, _) in zip(lists, rows, strict=True) if d in targets]):
+        models.append((Counter(w for ws in chosen for w in ws), Counter(p for ws in chosen for p in zip(ws, ws[1:], strict=False))))
+
+    def loss(model, ws):
+        words, pairs = model
+        total = 0.0
+        for i, w in enumerate(ws):
+            p = (words[w] + 1) / (sum(words.values()) + size)
+            if i:
+                share = {x: (n - 0.5) / words[ws[i - 1]] for (v, x), n in pairs.items() if v == ws[i - 1]}
+                p = p * (1 - sum(share.values())) + share.get(w, 0)
+            total -= math.log(p)
+        return total / len(ws)
+
+    return Counter((d, None if not ws else round(loss(models[1], ws) - loss(models[0], ws), 8)) for (d, _), ws in zip(rows, lists, strict=True))
+
+
+@pytest.mark.parametrize("chunk,bucket", [(lm_corpus.CHUNK, lm_corpus.BUCKET), (40, 25), (1, 7)])
+def test_whole_models_are_brute_force(spark, chunk, bucket):
+    rng = np.random.default_rng(6)
+    words = ["the"] * 30 + [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(40)] + [(3, "the cat the hat A  b\ta B"), (3, "again w1 the w2"), (None, "no id w5 w6"), (50, None), (51, ""), (52, "x" * 5000)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 1, 0), (3, 1, 0), (8, 0, 0), (5, 1, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_corpus.score_corpus(docs, labels, chunk, bucket).collect()
+    assert Counter((r["doc_id"], None if r["score"] is None else round(r["score"], 8)) for r in got) == brute_whole(rows, {1, 2, 3})
+
+
+def test_op4_models_grow_with_the_corpus(spark, tmp_path):
+    """A pair of words that occurs twice in 4 million tokens, and words beyond 65,535, are in the models."""
+    n = 70_000
+    rows = [(i, f"a{i} b{i}", "en") for i in range(n)] * 2 + [(n + i, "und " * 40_000, "en") for i in range(100)] + [(n + 200, "b1 a1", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = lm_score.op4_lm_scoring(spark, str(tmp_path))
+    got = {r["doc_id"]: r["background_loss"] for r in out.where(F.col("doc_id").isin(1, n - 1, n + 200)).collect()}
+    tokens, size = 4 * n + 4_000_000 + 2, 2 * n + 1
+    assert got[n - 1] == pytest.approx(-(math.log(3 / (tokens + size)) + math.log(0.75 + 0.25 * 3 / (tokens + size))) / 2, abs=1e-9)
+    assert got[n + 200] > got[1] + 0.3
+
+
+def test_whole_models_of_an_empty_table(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert lm_corpus.score_corpus(empty, labels).count() == 0
