@@ -31,7 +31,8 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 UNIFORM_LEVEL = 0.01
 FDR = 0.05
-#: Encodings by pattern, with their alphabets in order and the index of coincidence of ordinary runs in them.
+#: Encodings by pattern, with their alphabets in order and the index of coincidence of ordinary runs in them. Characters
+#: outside the alphabet (padding, a prefix that ends in `=`) count as one more symbol, which the alphabet's size leaves out.
 ENCODINGS = (
     ("decimal", "^[0-9]+$", "0123456789", 0.14),
     ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.12),
@@ -39,7 +40,8 @@ ENCODINGS = (
     ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.068),
     ("base36", "^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.068),
     ("base62", "^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.062),
-    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 0.062),
+    ("base64url", "^[A-Za-z0-9_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.062),
+    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.062),
 )
 
 Span = "array<struct<start:int,rank:int,end:int,body:string>>"

@@ -47,6 +47,16 @@ def test_random_keys_are_found_and_prose_is_not(spark):
     assert not any(got[100 + i] for i in range(len(plain)))
 
 
+@pytest.mark.parametrize("extra,pad", [("+/", ""), ("+/", "=="), ("-_", ""), ("-_", "=")])
+def test_long_base64_keys_are_found(spark, extra, pad):
+    rng = random.Random(11)
+    alphabet = string.ascii_letters + string.digits + extra
+    rows = [(i, "see " + "".join(rng.choice(alphabet) for _ in range((500, 800, 1024, 2048, 4000)[i % 5])) + pad + " here") for i in range(100)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(5):
+        assert sum(got[i] == f"random:4:{len(rows[i][1]) - 5}" for i in range(k, 100, 5)) >= 18
+
+
 def test_redaction_takes_all_spans_and_keeps_the_rest(docs, rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
