@@ -10,8 +10,8 @@ pairs would, and each link of the chain is verified by its differing bits.
 Cases: null and empty texts have no words and the fingerprint zero, and link like any other; texts of one or two words
 are one shingle; repeated rows and equal texts share a fingerprint; equal doc_ids get a row each; a component's id is its
 smallest doc_id that isn't null, or null if there is none; an empty table gives no rows; other columns are not read by
-`group`. `keep_one` returns one row for each component, the first of those with its id; rows without doc_id in
-components without any id count as one document. It returns all columns as they were.
+`group`. `keep_one` returns one row for each component, the first of those with its id, and of a component without any id
+one row; components that share an id have one row together. It returns all columns as they were.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import ascii_lower, documents, materialize, slices
 from .components import components
@@ -73,24 +74,43 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).select(F.col("fp").alias("u"), F.col("other").alias("v"))
 
 
-def group(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row."""
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp for each row; and fp, root, component_id for each distinct fingerprint."""
     marked = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(nodes.select("fp")))
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id")
+    return marked, labelled.join(least, "root").select("fp", "root", "component_id")
+
+
+def group(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for each row."""
+    marked, named = _named(docs)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rows_without_id(docs: DataFrame) -> DataFrame:
+    """row, fp for each row without doc_id."""
+    chosen = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [fingerprint(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["row", "fp"])
+
+    return chosen.mapInArrow(run, StructType([chosen.schema["row"], StructField("fp", LongType())]))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    found = group(docs)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("id", F.coalesce(F.col("row")["doc_id"], F.lit(-(1 << 63))))
-    kept = rows.join(chosen.select(F.coalesce("chosen_id", F.lit(-(1 << 63))).alias("id")), "id", "left_semi")
+    marked, named = _named(docs)
+    chosen = marked.join(named, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row")).withColumn("id", F.col("row")["doc_id"])
+    kept = rows.join(chosen, "id", "left_semi")
+    lone = _rows_without_id(docs).join(named.where("component_id is null"), "fp").select("row", F.col("root").alias("id"))
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row")))
-    return kept.withColumn("n", first).where("n = 1").select("row.*")
+    one = lambda df: df.withColumn("n", first).where("n = 1").select("row.*")
+    return one(kept).unionByName(one(lone))
 
 
 def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

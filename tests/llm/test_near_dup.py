@@ -99,5 +99,12 @@ def test_one_of_each_group_stays(docs, rows):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(groups)
 
 
+def test_unlike_rows_without_ids_stay(spark):
+    texts = [f"first{i} second{i} third{i} fourth{i}" for i in range(6)]
+    rows = [(None, t) for t in texts] + [(None, texts[0]), (1, texts[1]), (2, "a text of its own")]
+    out = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in out) == Counter([(None, t) for t in [texts[0], *texts[2:]]] + [(1, texts[1]), (2, "a text of its own")])
+
+
 def test_empty_table(empty):
     assert near_dup.group(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
