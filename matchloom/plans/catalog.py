@@ -49,7 +49,7 @@ def _(r: Records) -> DataFrame:
 
 def _normalize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = load(spark, sf_dir, "full")
-    return r.s1.select("entity_id", "name_norm", "address_norm")
+    return r.s1.unionByName(r.s2).unionByName(r.s3).select("entity_id", "name_norm", "address_norm")
 
 
 QUERIES["normalize_full_unicode"] = _normalize_full

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import blocking, normalize, ranking
+from matchloom.plans.catalog import QUERIES
 from matchloom.plans.fixture import raw_records
 from matchloom.schema import PAIR
 
@@ -47,3 +48,9 @@ def test_ids_alone_travel_until_records_are_fetched(records):
 def test_fixture_prunes_columns(spark):
     text = plan(raw_records(spark, "/root/testdata/sf0.001").select("entity_id"))
     assert "ReadSchema: struct<doc_id:bigint>" in text
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_full_unicode_normalizes_all_sources(spark):
+    got = QUERIES["normalize_full_unicode"](spark, "/root/testdata/sf0.001").groupBy(F.substring("entity_id", 1, 2).alias("of")).count().collect()
+    assert {r["of"] for r in got} == {"S1", "S2", "S3"}
