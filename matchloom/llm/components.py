@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, staged
 
 #: Edges to a partition, so that small rounds don't write hundreds of tiny files.
 EDGES_A_PARTITION = 200_000
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of `edges` (u long, v long) that isn't itself the least of its component.
 
     Both stars keep components; the rounds end when a round changes nothing, after about log(diameter) of them. Every
-    round is written to the shared folder, so plans stay short and lost executors cost one round.
+    round is written to the shared folder, so plans stay short and lost executors cost one round; the round before it is
+    deleted then.
     """
 
     spark = edges.sparkSession
@@ -39,12 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
     def stamp(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    current = materialize(edges.where("u <> v").select("u", "v"), "edges")
+    current, at = staged(edges.where("u <> v").select("u", "v"), "edges")
     before = stamp(current)
     while before[0]:
         parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + before[0] // EDGES_A_PARTITION)
-        current = materialize(_star(_star(current, True), False).coalesce(parts), "stars")
-        after = stamp(current)
+        current, following = staged(_star(_star(current, True), False).coalesce(parts), "stars")
+        discard(spark, [at])
+        at, after = following, stamp(current)
         if after == before:
             break
         before = after

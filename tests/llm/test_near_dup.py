@@ -106,5 +106,53 @@ def test_unlike_rows_without_ids_stay(spark):
     assert Counter(tuple(r) for r in out) == Counter([(None, t) for t in [texts[0], *texts[2:]]] + [(1, texts[1]), (2, "a text of its own")])
 
 
+def unlike_rows(rng, start=0):
+    """20 unlike texts with ids; 50 rows without: 20 more unlike texts, twice each, and copies of 10 of the first."""
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(90))
+    known, lone = [text() for _ in range(20)], [text() for _ in range(20)]
+    rows = [(start + i, t) for i, t in enumerate(known)] + [(None, t) for t in lone + lone + known[:10]]
+    return rows, Counter([(start + i, t) for i, t in enumerate(known)] + [(None, t) for t in lone])
+
+
+def test_no_text_without_id_is_lost(spark):
+    rows, want = unlike_rows(random.Random(2))
+    out = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, out)) == want
+
+
+def test_intermediate_tables_go(spark):
+    from matchloom.llm import common
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
+    before = set(common._WRITTEN)
+    with common.scratch(spark) as kept:
+        frame, path = common.staged(components(edges), "kept")
+        kept.add(path)
+    assert set(common._WRITTEN) - before == {path} and frame.count() == 30
+    common.discard(spark, [path])
+    assert set(common._WRITTEN) == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from matchloom.llm import common
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        common.shared_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from matchloom.llm.common import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (10 if i else 5000) for i in range(100)])], names=["t"])
+    parts = list(slices(iter([batch]), 30, 1000))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist()
+    assert all(p.num_rows <= 30 and (p.nbytes <= 1000 or p.num_rows == 1) for p in parts)
+
+
 def test_empty_table(empty):
     assert near_dup.group(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
