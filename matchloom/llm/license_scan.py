@@ -4,10 +4,13 @@ A text in lower case becomes words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`; one automa
 blanks, finds notice phrases and identifier tags at once, overlaps included. Behind an identifier tag stands an
 expression of licence ids with `and`, `or`, `with` and parentheses; a shunting-yard parser evaluates how much it asks for
 (permissive, weak or strong copyleft, restricted): `and` takes the stricter side, `or` the laxer one, and `with` relaxes
-copyleft by a step.
+copyleft by a step. The automaton's hit says where an expression begins, behind a colon or not, and the longest beginning
+of the line that is an expression counts: what follows it may be prose (`MIT. See the file`). A tag with no expression
+behind it, or with one that breaks off at an operator or parenthesis, gets the label `spdx-invalid`.
 
 Cases: null and empty texts have no words, places or labels and score 0; equal rows give equal rows; an empty table
-gives no rows; other columns, whatever their names, are not read.
+gives no rows; a very long text is scanned whole, in one pass, and Arrow batches are handled in slices bounded by rows and
+bytes; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents
+from .common import ascii_lower, documents, slices
 
 #: Base phrases and labels of the contract, fixed values.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -48,8 +51,10 @@ PHRASES = {
 BASE_CONFIDENCE = 0.6
 TAG = "spdx license identifier"
 TAG_CONFIDENCE = 0.9
-EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)")
 TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
+BEFORE = re.compile(r"[ \t]*:?[ \t]*")
+BLANKS = re.compile(r"[ \t]*")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 STRENGTHS = ("permissive", "weak-copyleft", "strong-copyleft", "restricted")
 #: Beginnings of ids, by the index in STRENGTHS; the first that fits counts, others are restricted.
@@ -61,6 +66,36 @@ def strength(license_id: str) -> int:
     return next((s for start, s in FAMILIES if license_id.startswith(start)), 3)
 
 
+def longest(text: str, at: int) -> tuple[str, bool]:
+    """The longest expression that stands at a place of a text in lower case, and whether it breaks off.
+
+    Tokens are read while they fit what is due; the expression ends with the last token that leaves no operator and no
+    parenthesis open. Nothing behind the first token that doesn't fit is read.
+    """
+    begin = upto = at
+    operand, depth, ids, alone = True, 0, 0, ""
+    while found := TOKEN.match(text, at):
+        token = found[0]
+        sentence = token[-1] in ".-" and token.rstrip(".-") != ""  # a full stop or dash behind an id
+        token = token.rstrip(".-") if sentence else token
+        if (token in BINDING or token == ")") == operand or (token == ")" and not depth):
+            if not operand and token not in BINDING and token not in "()" and ids == 1 and strength(alone) == 3 and "-" not in alone:
+                return "", True  # two plain words: prose, not a licence
+            return text[begin:upto], operand or depth > 0 or token in BINDING or token in "()"
+        if token in "()":
+            depth += 1 if token == "(" else -1
+        elif token not in BINDING:
+            ids, alone = ids + 1, token
+        operand = token in BINDING or token == "("
+        at = found.start() + len(token)
+        if not operand and not depth:
+            upto = at
+        if sentence:
+            break
+        at = BLANKS.match(text, at).end()
+    return text[begin:upto], operand or depth > 0
+
+
 def evaluate(expression: str) -> tuple[list[str], int]:
     """Licence ids of an expression and its strength. Raises ValueError where it isn't one."""
     values: list[tuple[int, str]] = []
@@ -130,32 +165,39 @@ def scan_text(machine: Any, text: str | None) -> tuple[int, int, int | None, int
     words = lowered.translate(_BLANKS).split()
     flat = b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass")
     base: list[int] = []
+    tags: list[int] = []
     base_labels, labels, doubt = set(), set(), 1.0
     seen: set[str] = set()
     spaces, upto = 0, 0
     for end, phrase in machine.iter(flat):
-        if phrase in BASE:
+        if phrase in BASE or phrase == TAG:
             start = end - len(phrase) - 1  # of the blank before it
             spaces += flat.count(" ", upto, start) if start >= upto else -flat.count(" ", start, upto)
             upto = start
-            base.append(spaces)
-            base_labels.add(BASE[phrase])
+            if phrase == TAG:
+                tags.append(spaces + TAG.count(" "))  # its last word
+            else:
+                base.append(spaces)
+                base_labels.add(BASE[phrase])
         if phrase not in seen:
             seen.add(phrase)
             label, confidence = PHRASES.get(phrase, (BASE.get(phrase), BASE_CONFIDENCE))
             if label:
                 labels.add(label)
                 doubt *= 1 - confidence
-    if TAG in seen:
-        for found in EXPRESSION.findall(lowered.decode("utf-8", "surrogatepass")):
-            try:
-                ids, level = evaluate(found)
-            except ValueError:
-                labels.add("spdx-invalid")
+    if tags:
+        plain, wanted = lowered.decode("utf-8", "surrogatepass"), set(tags)
+        for number, word in enumerate(WORD.finditer(plain)):
+            if number not in wanted:
                 continue
-            labels.update(f"spdx:{i}" for i in ids)
-            labels.add(f"spdx-{STRENGTHS[level]}")
-            doubt *= 1 - TAG_CONFIDENCE
+            expression, broken = longest(plain, BEFORE.match(plain, word.end()).end())
+            if broken:
+                labels.add("spdx-invalid")
+            if expression:
+                ids, level = evaluate(expression)
+                labels.update(f"spdx:{i}" for i in ids)
+                labels.add(f"spdx-{STRENGTHS[level]}")
+                doubt *= 1 - TAG_CONFIDENCE
     return len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels | base_labels)), 1 - doubt
 
 
@@ -166,7 +208,7 @@ _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string
 def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
-        for batch in batches:
+        for batch in slices(batches):
             found = [scan_text(machine, t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(_KINDS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
