@@ -4,10 +4,12 @@ Images live in a binary column. `decode` reads P1 to P6 and uncompressed BMP (8-
 averages areas exactly, fractions of pixels included, by interpolating the integral image at the borders of the new
 pixels; `tiles` gives for each image its NPY tile and the 64-bit hash of the differences between neighbours in a row.
 
-The query stores a text's bytes losslessly as 8-bit grey samples of a binary Netpbm image `SIDE` pixels wide.
+The query stores a text's bytes losslessly as 8-bit grey samples of a binary Netpbm image `SIDE` pixels wide, decodes the
+stored images, writes their NPY tiles and hashes as a table, and takes its features from the tiles as read back.
 
 Cases: null and empty texts are one block of 255; equal texts have equal values; repeated rows stay; a null or broken
-image in `tiles` gives null height, width, tile and hash; an empty table gives no rows; other columns are not read.
+image in `tiles` gives null height, width, tile and hash; an empty table gives no rows; a very long text is one image of
+all its bytes, and Arrow batches are handled in slices bounded by rows and bytes; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, slices
 
 UNIT = 576
 SIDE = 24
@@ -128,8 +130,9 @@ def difference_hash(pixels: np.ndarray) -> str:
 
 
 def npy_tile(pixels: np.ndarray, side: int = TILE) -> bytes:
+    """An NPY file, row by row, of the rounded means; a half rounds up, whatever the noise of floating point."""
     out = io.BytesIO()
-    np.save(out, np.floor(resize(pixels, side, side) + 0.5).astype(np.uint8))
+    np.save(out, np.floor(resize(pixels, side, side) + 0.5 + 1e-6).astype(np.uint8, order="C"))
     return out.getvalue()
 
 
@@ -137,7 +140,7 @@ def tiles(images: DataFrame, key: str, media: str, side: int = TILE) -> DataFram
     """key, height, width, tile (NPY file), dhash for each row of `images`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data in batch.column(1).to_pylist():
                 try:
@@ -156,38 +159,41 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a grey image, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                images = []
-                for raw in raws:
-                    payload = raw + b"\xff" * (UNIT - len(raw) % UNIT if len(raw) % UNIT or not raw else 0)
-                    images.append(encode_netpbm(np.frombuffer(payload, np.uint8).reshape(-1, SIDE)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raws), pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for part in slices(batches):
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+            images = []
+            for raw in raws:
+                payload = raw + b"\xff" * (UNIT - len(raw) % UNIT if len(raw) % UNIT or not raw else 0)
+                images.append(encode_netpbm(np.frombuffer(payload, np.uint8).reshape(-1, SIDE)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raws), pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     stored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
     return materialize(stored, "media")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
 
 
-def text_features(stored: DataFrame) -> DataFrame:
-    """Digests of the payload as decoded from the stored images, and `dhash:crc32 of the NPY tile` as feature."""
+def text_tiles(stored: DataFrame) -> DataFrame:
+    """Digests of the payload as decoded from the stored images, their difference hashes and NPY tiles, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data in batch.column(2).to_pylist():
                 pixels = decode(data)
                 payload = pixels.tobytes()
-                feature = f"{difference_hash(pixels)}:{zlib.crc32(npy_tile(pixels)):08x}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[c.split()[0] for c in FEATURES.split(", ")])
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(pixels), npy_tile(pixels)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[c.split()[0] for c in DIGESTS.split(", ")])
+
+    return materialize(stored.mapInArrow(run, DIGESTS), "tiles")
 
-    return stored.mapInArrow(run, FEATURES)
+
+def text_features(stored: DataFrame) -> DataFrame:
+    """The digests, and `dhash:crc32 of the NPY tile` as feature, from the tiles as read back."""
+    crc = F.lpad(F.lower(F.hex(F.crc32("tile"))), 8, "0")
+    return text_tiles(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", "dhash", crc).alias("feature"))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
