@@ -9,7 +9,8 @@ statistic is non-central, and the more so the longer the run is. The p-values of
 Benjamini-Hochberg procedure over a document's candidates at rate `FDR`; short runs have no power and so are not found.
 
 Cases: null or empty text has no spans (their digest is that of the empty string); equal rows give equal rows; an empty
-table gives no rows; other columns, whatever their names, are not read by `scan`, and are kept by `redact`.
+table gives no rows; a very long text is scanned whole, in a time that its length and matches take times their logarithm;
+other columns, whatever their names, are not read by `scan`, and are kept by `redact`.
 """
 
 from __future__ import annotations
@@ -52,24 +53,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Totals of an array up to each place, by doubling: n log n steps, as an aggregate that appends would take n * n."""
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(values))))
+
+    def doubled(acc: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= step, combine(x, F.coalesce(F.get(acc, i - step), x))).otherwise(x))
+
+    return F.aggregate(rounds, values, doubled)
+
+
 def matches(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
     """All leftmost matches as (start, rank, end, body), in code points: the gaps between them are what split() leaves."""
     regex = F.lit(pattern)
+    found = F.struct(
+        F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, regex, F.lit(0)).alias("whole"),
+        F.regexp_extract_all(text, regex, F.lit(group)).alias("body"),
+    )
+
+    def placed(x: Column) -> Column:
+        steps = F.transform(x["whole"], lambda w, i: F.length(w) + F.length(F.get(x["gaps"], i)))
 
-    def placed(gaps: Column) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all(text, regex, F.lit(0)).alias("whole"), F.regexp_extract_all(text, regex, F.lit(group)).alias("body"))
-        start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("i"), F.array().cast(Span).alias("out"))
+        def rows(ends: Column) -> Column:
+            def row(w: Column, i: Column) -> Column:
+                end = F.get(ends, i)
+                return F.struct((end - F.length(w)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.get(x["body"], i).alias("body"))
 
-        def step(acc: Column, m: Column) -> Column:
-            begin = acc["at"] + F.length(F.element_at(gaps, acc["i"]))
-            end = begin + F.length(m["whole"])
-            row = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), m["body"].alias("body"))
-            return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(row)).alias("out"))
+            return F.transform(x["whole"], row)
 
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return let(let(steps, lambda v: running(v, lambda a, b: a + b)), rows)
 
     none = F.array().cast(Span)
-    return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), placed)).otherwise(none)
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(none)
 
 
 def upper_tail(z: Column) -> Column:
@@ -124,7 +141,8 @@ def random_spans(text: Column, base: Column) -> Column:
     """Candidates that pass the battery and the false-discovery control of their document."""
 
     def chosen(candidates: Column) -> Column:
-        scored = F.array_sort(F.transform(candidates, lambda c: F.struct(battery(c["body"])["ordinary"].alias("p"), battery(c["body"])["uniform"].alias("uniform"), c.alias("span"))))
+        judged = lambda c: let(battery(c["body"]), lambda b: F.struct(b["ordinary"].alias("p"), b["uniform"].alias("uniform"), c.alias("span")))
+        scored = F.array_sort(F.transform(candidates, judged))
 
         def controlled(rows: Column) -> Column:
             m = F.size(rows).cast("double")
@@ -135,10 +153,30 @@ def random_spans(text: Column, base: Column) -> Column:
         return let(scored, controlled)
 
     none = F.array().cast(Span)
-    free = F.filter(matches(text, CANDIDATE, 3), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = let(F.struct(base.alias("base"), matches(text, CANDIDATE, 3).alias("found")), lambda x: _apart(x["found"], x["base"]))
     return F.when(text.rlike(CANDIDATE), let(free, lambda c: F.when(F.size(c) > 0, chosen(c)).otherwise(none))).otherwise(none)
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """Those of `spans` that overlap none of `base`, which is in order of start: a binary search for each."""
+    known = F.struct(F.transform(base, lambda b: b["start"]).alias("starts"), running(F.transform(base, lambda b: b["end"]), F.greatest).alias("ends"))
+
+    def apart(x: Column) -> Column:
+        bits = F.sequence(F.length(F.bin(F.size(x["starts"]))), F.lit(0))
+
+        def free(c: Column) -> Column:
+            def lower(at: Column, k: Column) -> Column:
+                step = F.call_function("shiftleft", F.lit(1), k)
+                return F.when(F.coalesce(F.get(x["starts"], at + step - 1) < c["end"], F.lit(False)), at + step).otherwise(at)
+
+            before = F.aggregate(bits, F.lit(0), lower)  # base spans that start before its end
+            return ~F.coalesce(F.get(x["ends"], before - 1) > c["start"], F.lit(False))
+
+        return F.filter(spans, free)
+
+    return F.when((F.size(base) > 0) & (F.size(spans) > 0), let(known, apart)).otherwise(spans)
+
+
 def base_spans(text: Column) -> Column:
     assign = F.filter(matches(text, ASSIGN, 0, 2), lambda m: F.length(m["body"]) >= SHORTEST_VALUE)
     return F.array_sort(F.concat(assign, matches(text, ACCESS, 1), matches(text, HEX, 2)))
@@ -161,20 +199,38 @@ def scan(docs: DataFrame) -> DataFrame:
     return full.select("doc_id", *counts[:3], F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.col("all")).alias("spans"), counts[3])
 
 
+#: Code points of a block of text: a substring is found by counting from the start of its block, not of the text.
+BLOCK = 4096
+
+
+def _masked(text: Column, spans: Column, mark: str) -> Column:
+    """`text` with what spans (in order of start) cover as `mark`, overlapping ones as one, in linear time."""
+
+    def parts(x: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / BLOCK).cast("int")
+            piece = lambda k: F.substring(F.get(x["blocks"], k), F.greatest(a - k * BLOCK, F.lit(0)) + 1, F.least(b - k * BLOCK, F.lit(BLOCK)) - F.greatest(a - k * BLOCK, F.lit(0)))
+            return F.when(b > a, F.array_join(F.transform(F.sequence(first, F.floor((b - 1) / BLOCK).cast("int")), piece), "")).otherwise("")
+
+        def part(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(0)
+            return F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.lit(mark))).otherwise("")
+
+        last = between(F.element_at(x["ends"], -1), x["length"])
+        return F.concat(F.array_join(F.transform(spans, part), ""), last)
+
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(F.struct(blocks.alias("blocks"), ends.alias("ends"), F.length(text).alias("length")), parts)
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """`docs` with every found span replaced in `text`; all other columns but `n_chars`, which follows, stay as they are."""
     columns = docs.columns
     row = docs.select(F.struct(*columns).alias("row"))
     based = row.withColumn("text", F.coalesce(F.col("row")["text"], F.lit(""))).withColumn("base", base_spans(F.col("text")))
     full = based.select("row", "text", F.array_sort(F.concat("base", random_spans(F.col("text"), F.col("base")))).alias("all"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        added = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.when(fresh, added).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    cleaned = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    cleaned = _masked(F.col("text"), F.col("all"), mark)
     done = full.select("row", F.when(F.size("all") > 0, cleaned).otherwise(F.col("row")["text"]).alias("clean"), (F.size("all") > 0).alias("changed"))
     out = []
     for c in columns:
