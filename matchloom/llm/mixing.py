@@ -7,9 +7,13 @@ targets. The network has one node per pattern and source, whatever the number of
 documents these are, a seeded hash says: words per hash bucket find the bucket in which the share ends, and an exact
 running sum inside this one bucket finds the last document.
 
-Cases: a null source is a source of its own and comes last; a null or empty text has size 0 and takes 0 words; equal
-rows and equal doc_ids have equal hashes and are decided together; an empty table gives no rows; other columns,
-whatever their names, are not read.
+`copies` gives a document's memberships by its text: every source that holds the same text. The query leaves them out, as
+its `source` column names the one source of each row.
+
+Cases: a null source is a source of its own and comes last; a null or empty text has size 0 and takes 0 words; rows of one
+doc_id and unlike texts are decided one by one, and so are rows without doc_id, whose place their text's hash gives; rows
+with equal doc_id and text are decided together; an empty table gives no rows; a very long text is one document, so the
+mix ends within half of it; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -105,19 +109,33 @@ def _pattern(memberships: Any) -> Column:
 
 
 def _spot(seed: int) -> Column:
-    """60 bits of an md5, which SQL engines share."""
-    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string"))
+    """60 bits of an md5, which SQL engines share, of the doc_id, or of the text of a row without one."""
+    alone = F.concat(F.lit("text|"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), alone))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _tie() -> Column:
+    """The order of unlike texts at one place."""
+    return F.xxhash64("text")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """`docs` with `held_by`: the sorted sources that hold a row's text, an array that the number of sources bounds."""
+    key = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
+    held = docs.select(key(F.col("text")).alias("key"), "source").distinct().groupBy("key").agg(F.collect_list(F.struct("source")).alias("sources"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key(F.col("text")).alias("key"))
+    return rows.join(held.select("key", F.array_sort(F.col("sources")["source"]).alias("held_by")), "key").select("row.*", "held_by")
+
+
 def measured(docs: DataFrame, memberships: Any = None, seed: int = SEED) -> DataFrame:
-    """doc_id, pattern (sorted array of sources), size, and the seeded place `spot`."""
+    """doc_id, pattern (sorted array of sources), size, and the seeded place: `spot`, then `tie`."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select("doc_id", _pattern(memberships).alias("pattern"), size.alias("size"), _spot(seed).alias("spot"))
+    return docs.select("doc_id", _pattern(memberships).alias("pattern"), size.alias("size"), _spot(seed).alias("spot"), _tie().alias("tie"))
 
 
 Plan = list[tuple]
-PLAN = "pattern array<string>, whole int, source_size array<long>, target array<double>, last_bucket int, limit_spot long"
+PLAN = "pattern array<string>, whole int, source_size array<long>, target array<double>, last_bucket int, limit_spot long, limit_tie long"
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MAX_REPEATS) -> Plan:
@@ -142,12 +160,15 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = M
     before = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("words")
     ends = by_bucket.withColumn("before", before).join(shares, "pattern").where("before < more and before + words >= more")
     ends = ends.select("pattern", "bucket", "before", "more")
-    inside = sized.select("pattern", "spot", "size", _bucket().alias("bucket")).join(F.broadcast(ends), ["pattern", "bucket"])  # one row a pattern
-    running = F.sum("size").over(Window.partitionBy("pattern").orderBy("spot").rangeBetween(Window.unboundedPreceding, 0))
-    # A document is taken if its middle lies before the end, so the sum ends within half a document of it.
-    limits = inside.withColumn("upto", F.col("before") + running).where("2 * upto - size <= 2 * more").groupBy("pattern").agg(F.max("spot").alias("limit_spot"))
-    marks = {tuple(r["pattern"]): (r["bucket"], r["limit_spot"]) for r in ends.join(limits, "pattern", "left").select("pattern", "bucket", "limit_spot").collect()}  # at most one row a pattern
-    return [(p, whole, own_words, want, *marks.get(tuple(p), (0, None))) for p, whole, _, own_words, want in taken]
+    inside = sized.select("pattern", "spot", "tie", "size", _bucket().alias("bucket")).join(F.broadcast(ends), ["pattern", "bucket"])  # one row a pattern
+    # All that is at one place: rows with equal ids and texts, so the window holds no two rows of a place.
+    places = inside.groupBy("pattern", "before", "more", "spot", "tie").agg(F.sum("size").alias("size"))
+    running = F.sum("size").over(Window.partitionBy("pattern").orderBy("spot", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    # A place is taken if its middle lies before the end, so the sum ends within half of it.
+    reached = places.withColumn("upto", F.col("before") + running).where("2 * upto - size <= 2 * more")
+    limits = reached.groupBy("pattern").agg(F.max(F.struct("spot", "tie")).alias("limit"))
+    marks = {tuple(r["pattern"]): (r["bucket"], r["spot"], r["tie"]) for r in ends.join(limits, "pattern", "left").select("pattern", "bucket", "limit.spot", "limit.tie").collect()}  # at most one row a pattern
+    return [(p, whole, own_words, want, *marks.get(tuple(p), (0, None, None))) for p, whole, _, own_words, want in taken]
 
 
 def _bucket() -> Column:
@@ -155,10 +176,11 @@ def _bucket() -> Column:
 
 
 def with_copies(rows: DataFrame, planned: Plan) -> DataFrame:
-    """`rows` (pattern, spot, ...) with source_size, target (arrays by the pattern's sources) and copies."""
+    """`rows` (pattern, spot, tie, ...) with source_size, target (arrays by the pattern's sources) and copies."""
     joined = rows.join(F.broadcast(rows.sparkSession.createDataFrame(planned, PLAN)), "pattern")  # at most MAX_PATTERNS rows
-    again = (_bucket() < F.col("last_bucket")) | ((_bucket() == F.col("last_bucket")) & F.coalesce(F.col("spot") <= F.col("limit_spot"), F.lit(False)))
-    return joined.withColumn("copies", F.col("whole") + again.cast("int")).drop("whole", "last_bucket", "limit_spot")
+    reached = (F.col("spot") < F.col("limit_spot")) | ((F.col("spot") == F.col("limit_spot")) & (F.col("tie") <= F.col("limit_tie")))
+    again = (_bucket() < F.col("last_bucket")) | ((_bucket() == F.col("last_bucket")) & F.coalesce(reached, F.lit(False)))
+    return joined.withColumn("copies", F.col("whole") + again.cast("int")).drop("whole", "last_bucket", "limit_spot", "limit_tie")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), memberships: Any = None, seed: int = SEED, most: int = MAX_REPEATS) -> DataFrame:
@@ -174,8 +196,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), memberships: An
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), memberships: Any = None, seed: int = SEED, most: int = MAX_REPEATS) -> DataFrame:
     """Each row of `docs`, with all its columns, as often as the mix takes it."""
     planned = plan(materialize(measured(docs, memberships, seed), "mix"), weights, most)
-    pattern, spot = _pattern(memberships), _spot(seed)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), pattern.alias("pattern"), spot.alias("spot"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _pattern(memberships).alias("pattern"), _spot(seed).alias("spot"), _tie().alias("tie"))
     return with_copies(rows, planned).where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
