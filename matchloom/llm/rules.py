@@ -9,7 +9,8 @@ its characters is depleted and rejected.
 Hot lines are counted in partial sums, and the join of lines with boilerplate can be split; no group is collected.
 
 Cases: null and empty texts have no words and so fail the base rule; a null source is a host of its own; equal rows get
-equal verdicts; a null doc_id is a key like any other; an empty table gives no rows; other columns are not read.
+equal verdicts; a null doc_id is a key like any other; an empty table gives no rows; a very long text is judged whole, its
+windows sorted in n log n steps; other columns are not read by `apply_rules` and kept by `without_boilerplate`.
 """
 
 from __future__ import annotations
@@ -68,22 +69,40 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"\p{Nd}+", "0"), r"[\x20\x09-\x0D]+", " ")))
 
 
-def depletion(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """For each (doc_id, source, text_hash) that has lines above the limit: characters of all lines, and of those removed."""
+def _line_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text_hash, line (hash of the normalised line), chars of each line that isn't blank, as a table."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.length(F.trim(x)).alias("chars")))
     rows = docs.select("doc_id", "source", F.xxhash64(text).alias("text_hash"), F.explode(lines).alias("l")).select("doc_id", "source", "text_hash", "l.line", "l.chars")
-    rows = materialize(rows.where("chars > 0"), "lines")
+    return materialize(rows.where("chars > 0"), "lines")
+
+
+def _hits(rows: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """The rows whose line is above the limit of its host."""
     hosts = rows.groupBy("source").agg(F.count_distinct("text_hash").alias("texts"))
     counted = rows.groupBy("source", "line").agg(F.count_distinct("text_hash").alias("n")).where(F.col("n") > min_docs)
     same_host = counted["source"].eqNullSafe(hosts["source"])
     above = counted.join(hosts, same_host).where(F.col("n") > F.lit(share) * F.col("texts")).select(counted["source"].alias("host"), F.col("line").alias("common"))
-    hit = rows.join(above, rows["source"].eqNullSafe(above["host"]) & (rows["line"] == above["common"]))
-    lost = hit.groupBy("doc_id", "source", "text_hash").agg(F.sum("chars").alias("lost"))
+    return rows.join(above, rows["source"].eqNullSafe(above["host"]) & (rows["line"] == above["common"]))
+
+
+def depletion(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """For each (doc_id, source, text_hash) that has lines above the limit: characters of all lines, and of those removed."""
+    rows = _line_rows(docs)
+    lost = _hits(rows, min_docs, share).groupBy("doc_id", "source", "text_hash").agg(F.sum("chars").alias("lost"))
     total = rows.groupBy("doc_id", "source", "text_hash").agg(F.sum("chars").alias("chars"))
     return _keyed(total, lost, "inner").select(*[F.col(f"l.{c}") for c in KEY], "chars", "lost")
 
 
+def without_boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """`docs`, with all columns, their `text` without the lines above the limit of its host; a text that has none stays as it is."""
+    found = _hits(_line_rows(docs), min_docs, share).groupBy(*KEY).agg(F.collect_set("line").alias("common"))  # lines of one document
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    left = F.filter(F.split(F.col("l.row")["text"], "\n", -1), lambda x: ~F.array_contains("r.common", F.xxhash64(normal_line(x))))
+    text = F.when(F.col("r.common").isNull(), F.col("l.row")["text"]).otherwise(F.array_join(left, "\n"))
+    return _keyed(rows, found, "left").select(*[text.alias(c) if c == "text" else F.col("l.row")[c].alias(c) for c in docs.columns])
+
+
 KEY = ("doc_id", "source", "text_hash")
 
 
