@@ -10,8 +10,8 @@ in bits, three zeros), doc_id int64 per document, one null flag byte per documen
 int64 per level, then per level the plane (bytes, highest bit first) and its directory (uint32 ones before each block).
 
 Cases: a null text has the end id alone; a null doc_id comes first and stays null; equal doc_ids and repeated rows each
-keep their own place, in any order among themselves; an empty table gives no shard and no rows; other columns, whatever
-their names, are not read.
+keep their own place, in any order among themselves; an empty table gives no shard and no rows; a very long text stands
+whole in one shard, which may exceed `SHARD_TOKENS` by it; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -182,7 +182,7 @@ class Shard:
 
 
 def _write(uri: str, data: bytes) -> None:
-    """Whole under its final name or not at all: a task that dies leaves a name that no manifest lists."""
+    """Names hold the number of the try, so a task that dies leaves part of a file under a name that no manifest lists."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
@@ -244,9 +244,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     spark = manifest.sparkSession
-    # One row per shard, so this window over all shards stays small.
-    based = manifest.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)))
-    based = based.select("path", F.coalesce("base", F.lit(0)).alias("base"))
+    # Tokens before each part (one row a part), then inside every part before each of its shards: no task orders all shards.
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    based = manifest.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, "part").select("path", (F.col("ahead") + F.col("inside")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +260,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts + base, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return based.repartition(parts, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return based.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, **options: Any) -> DataFrame:
