@@ -10,8 +10,11 @@ a hash of doc_id, of at most `SAMPLE_BYTES` bytes each. The classes are balanced
 among all labelled rows outside the held-out fifth sets the intercept afterwards. Scoring reads whole texts.
 
 Cases: a null text counts as empty, and an empty text is scored as one chunk of padding; equal texts have equal scores;
-a null doc_id is not held out; without labels of both classes the score is the share of label 1 (0.5 without any); an
-empty table gives no rows; other columns, whatever their names, are not read by `score_documents` and stay in `keep_good`.
+a null doc_id is not held out; a doc_id with several labels, or several rows, is an example once for each of them; without
+labelled rows of both classes to train on the score is the share of label 1 among all labels (0.5 without any); an empty
+table gives no rows; a very long text is scored whole, `BLOCK` chunks at a time, but a labelled one of more than
+`SAMPLE_BYTES` bytes isn't trained on; other columns, whatever their names, are not read by `score_documents` and stay in
+`keep_good`.
 """
 
 from __future__ import annotations
@@ -131,9 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNetwo
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}  # two rows
     network = ByteNetwork()
     both = sum(counts.values())
+    share = counts.get(1, 0) / both if both else 0.5
+    network.prior = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if len(counts) < 2:
-        share = counts.get(1, 0) / both if both else 0.5
-        network.prior = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return network
     # Twice the rows that are wanted of each class: some may be too long or have no document.
     by_hash = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
