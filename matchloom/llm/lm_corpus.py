@@ -3,14 +3,17 @@ r"""Scores of a corpus under bigram models of all its words and all its bigrams,
 The texts are cut into chunks of about `CHUNK` tokens. A chunk asks for the counts of its distinct words and bigrams, so a
 hot one is asked for once a chunk; the questions are shuffled by buckets, whose number grows with the tokens, counted there
 as a distributed table, and the answers go back to their chunks. Bigrams of a bucket are those of a range of previous
-words, but those of hot previous words (more than 1 / `HOT` of all tokens, so at most `HOT` of them) are spread by both
-words. A word is known by a hash of 64 bits, and the word after it by 48 bits of its hash. Nothing is cut or collected;
-the driver has the hot words and four sums.
+words, but those of hot previous words (more than 1 / `HOT` of all tokens, so at most `HOT` of them) are spread by ranges
+of the word after. A word is known by a hash of 64 bits, and the word after it by 48 bits of its hash. Nothing is cut or
+collected; the driver has the hot words and three sums.
+
+Bigrams and words are asked for one after the other, and each answer is a written table, so the questions of only one of
+them are on disk at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, discard, materialize, staged
 
 CHUNK = 1 << 20
 #: Tokens for each bucket; what a bucket holds of a chunk is at most its distinct bigrams.
@@ -105,13 +108,19 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
 class Chunk:
     """A chunk's tokens, its distinct bigrams in order, and their order by buckets."""
 
-    def __init__(self, hashes: bytes, stream: bytes, lengths: list[int], hot: np.ndarray, buckets: int) -> None:
-        self.hashes = unpack(hashes)[0]
-        self.stream = unpack(stream)[1].astype(np.int64)
-        self.lengths = np.array(lengths, np.int64)
-        self.doc = np.repeat(np.arange(len(lengths)), self.lengths)
+    def __init__(self, row: dict) -> None:
+        self.hashes = unpack(row["hashes"])[0]
+        self.stream = unpack(row["stream"])[1].astype(np.int64)
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.first = np.ones(len(self.stream), bool)
         self.first[1:] = self.doc[1:] != self.doc[:-1]
+        wanted = np.zeros(len(self.lengths), bool)
+        wanted[np.array(row["targets"] or [], np.int64)] = True
+        self.target = wanted[self.doc]
+
+    def pair(self, hot: np.ndarray, buckets: int) -> Chunk:
+        """Find the bigrams; afters are in order within a previous word, also in the order by buckets."""
         size = max(1, len(self.hashes))
         later = np.flatnonzero(~self.first)
         self.pairs, self.inverse = np.unique(self.stream[later - 1] * size + self.stream[later], return_inverse=True)
@@ -119,10 +128,10 @@ class Chunk:
         self.v, self.w = self.pairs // size, self.pairs % size
         before = self.hashes[self.v]
         after = self.hashes[self.w] >> np.uint64(16)
-        spread = np.where(np.isin(before, hot), mixed(before, after), before)
-        bucket = range_of(spread, buckets)
+        bucket = range_of(np.where(np.isin(before, hot), self.hashes[self.w], before), buckets)
         self.order = np.argsort(bucket, kind="stable")
         self.before, self.after, self.bucket = before[self.order], after[self.order], bucket[self.order]
+        return self
 
 
 def _row(kind: int, bucket: int, chunk: int, *arrays: np.ndarray) -> tuple[int, int, int, bytes]:
@@ -134,34 +143,62 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["kind", "bucket", "chunk", "data"])
 
 
-def _by_bucket(kind: int, chunk: int, bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+def _by_bucket(kind: int, chunk: int, bucket: np.ndarray, *arrays: np.ndarray, how: Callable[..., bytes] = pack) -> Iterator[tuple[int, int, int, bytes]]:
     """A row for each bucket; `bucket` is in order."""
     found, starts = np.unique(bucket, return_index=True)
     ends = np.append(starts[1:], len(bucket))[: len(starts)].tolist()
     for b, start, end in zip(found.tolist(), starts.tolist(), ends, strict=True):
-        yield _row(kind, b, chunk, *[a[start:end] for a in arrays])
+        yield kind, b, chunk, how(*[a[start:end] for a in arrays])
+
+
+def pack_pairs(before: np.ndarray, after: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Bigrams in order: afters of one previous word become differences, too."""
+    rest = after.astype(np.uint64)
+    same = before[1:] == before[:-1]
+    rest[1:][same] -= after[:-1][same]
+    return pack(before, rest, *counts)
 
 
-def questions(marked: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Rows WORDS (hash, counts and counts before another word, of all and of target) and PAIRS (words, counts of both)."""
+def unpack_pairs(data: bytes) -> np.ndarray:
+    rows = unpack(data)
+    starts = np.ones(rows.shape[1], bool)
+    starts[1:] = rows[0][1:] != rows[0][:-1]
+    at = np.flatnonzero(starts)
+    sums = np.cumsum(rows[1], dtype=np.uint64)
+    rows[1] = sums - np.repeat(sums[at] - rows[1][at], np.diff(np.append(at, rows.shape[1])))
+    return rows
+
 
+def _asked(store: DataFrame, rows_of: Callable[[Chunk, int], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                c = Chunk(r["hashes"], r["stream"], r["lengths"], hot, buckets)
-                wanted = np.zeros(len(c.lengths), bool)
-                wanted[np.array(r["targets"] or [], np.int64)] = True
-                target = wanted[c.doc]
-                last = np.append(c.first[1:], True)[: len(c.first)]
-                size = len(c.hashes)
-                sums = [np.bincount(c.stream[chosen], minlength=size) for chosen in (slice(None), target, ~last, target & ~last)]
-                rows = list(_by_bucket(WORDS, r["chunk"], range_of(c.hashes, buckets), c.hashes, *sums))
-                n = np.bincount(c.inverse, minlength=len(c.pairs))[c.order]
-                n_target = np.bincount(c.inverse[target[c.later]], minlength=len(c.pairs))[c.order]
-                rows += _by_bucket(PAIRS, r["chunk"], c.bucket, c.before, c.after, n, n_target)
-                yield _batch(rows)
-
-    return marked.mapInArrow(run, PART)
+                yield _batch(list(rows_of(Chunk(r), r["chunk"])))
+
+    return store.select("chunk", "lengths", "hashes", "stream", "targets").mapInArrow(run, PART)
+
+
+def ask_pairs(store: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Rows PAIRS: both words of each distinct bigram of a chunk, and its counts, of all documents and of the target's."""
+
+    def rows(c: Chunk, chunk: int) -> Iterator[tuple[int, int, int, bytes]]:
+        c.pair(hot, buckets)
+        n = np.bincount(c.inverse, minlength=len(c.pairs))[c.order]
+        n_target = np.bincount(c.inverse[c.target[c.later]], minlength=len(c.pairs))[c.order]
+        return _by_bucket(PAIRS, chunk, c.bucket, c.before, c.after, n, n_target, how=pack_pairs)
+
+    return _asked(store, rows)
+
+
+def ask_words(store: DataFrame, buckets: int) -> DataFrame:
+    """Rows WORDS: hash of each distinct word of a chunk, and its counts and counts before another word, of all and of the target's."""
+
+    def rows(c: Chunk, chunk: int) -> Iterator[tuple[int, int, int, bytes]]:
+        last = np.append(c.first[1:], True)[: len(c.first)]
+        sums = [np.bincount(c.stream[chosen], minlength=len(c.hashes)) for chosen in (slice(None), c.target, ~last, c.target & ~last)]
+        return _by_bucket(WORDS, chunk, range_of(c.hashes, buckets), c.hashes, *sums)
+
+    return _asked(store, rows)
 
 
 def _total(where: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -173,43 +210,37 @@ def _total(where: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 def _of_kind(table: pa.Table, kind: int) -> tuple[list[int], list[np.ndarray]]:
     kinds = table.column("kind").to_numpy()
     chosen = table.take(pa.array(np.flatnonzero(kinds == kind)))
-    return chosen.column("chunk").to_pylist(), [unpack(d) for d in chosen.column("data").to_pylist()]
+    back = unpack_pairs if kind == PAIRS else unpack
+    return chosen.column("chunk").to_pylist(), [back(d) for d in chosen.column("data").to_pylist()]
 
 
-def count_pairs(parts: DataFrame, buckets: int) -> DataFrame:
-    """PAIR_ANSWERS to chunks, TYPES (followers of each previous word), SUMS (words, tokens, target's), and WORDS as they are."""
+def count_pairs(asked: DataFrame, buckets: int) -> DataFrame:
+    """PAIR_ANSWERS to chunks, and TYPES: how many words follow each previous word."""
 
     def run(table: pa.Table) -> pa.Table:
-        at = table.column("bucket")[0].as_py()
-        rows = []
+        at, rows, start = table.column("bucket")[0].as_py(), [], 0
         chunk, found = _of_kind(table, PAIRS)
-        if found:
-            before, after, n, n_target = np.concatenate(found, axis=1)
-            _, index, where = np.unique(mixed(before, after), return_index=True, return_inverse=True)
-            n, n_target = _total(where, n, len(index)), _total(where, n_target, len(index))
-            start = 0
-            for c, x in zip(chunk, found, strict=True):
-                mine = where[start : start + x.shape[1]]
-                rows.append(_row(PAIR_ANSWERS, at, c, np.zeros(len(mine)), n[mine], n_target[mine]))
-                start += x.shape[1]
-            words, place = np.unique(before[index], return_inverse=True)
-            types = np.bincount(place, minlength=len(words))
-            types_target = np.bincount(place[n_target > 0], minlength=len(words))
-            rows += _by_bucket(TYPES, -1, range_of(words, buckets), words, types, types_target)
-        chunk, found = _of_kind(table, WORDS)
-        if found:
-            whole = np.concatenate(found, axis=1)
-            rows.append(_row(SUMS, at, -1, np.zeros(1), *[np.array([x]) for x in (len(np.unique(whole[0])), whole[1].sum(), whole[2].sum())]))
-            rows += [_row(WORDS, at, c, *x) for c, x in zip(chunk, found, strict=True)]
+        before, after, n, n_target = np.concatenate(found, axis=1)
+        _, index, where = np.unique(mixed(before, after), return_index=True, return_inverse=True)
+        n, n_target = _total(where, n, len(index)), _total(where, n_target, len(index))
+        for c, x in zip(chunk, found, strict=True):
+            mine = where[start : start + x.shape[1]]
+            rows.append(_row(PAIR_ANSWERS, at, c, np.zeros(len(mine)), n[mine], n_target[mine]))
+            start += x.shape[1]
+        words, place = np.unique(before[index], return_inverse=True)
+        types = np.bincount(place, minlength=len(words))
+        types_target = np.bincount(place[n_target > 0], minlength=len(words))
+        rows += _by_bucket(TYPES, -1, range_of(words, buckets), words, types, types_target)
         return pa.Table.from_batches([_batch(rows)])
 
-    return parts.groupBy("bucket").applyInArrow(run, PART)
+    return asked.groupBy("bucket").applyInArrow(run, PART)
 
 
-def count_words(parts: DataFrame) -> DataFrame:
-    """WORD_ANSWERS: counts of both models, and twice the discounted counts before other words."""
+def count_words(asked: DataFrame) -> DataFrame:
+    """WORD_ANSWERS: counts of both models, and twice the discounted counts before other words; and SUMS: distinct words, in place of a chunk."""
 
     def run(table: pa.Table) -> pa.Table:
+        at = table.column("bucket")[0].as_py()
         chunk, found = _of_kind(table, WORDS)
         _, types = _of_kind(table, TYPES)
         words, where = np.unique(np.concatenate([x[0] for x in [*found, *types]]), return_inverse=True)
@@ -217,14 +248,14 @@ def count_words(parts: DataFrame) -> DataFrame:
         n = [_total(where[:split], np.concatenate([x[i] for x in found]), len(words)) for i in range(1, 5)]
         t = [_total(where[split:], np.concatenate([x[i] for x in types] or [np.zeros(0)]), len(words)) for i in (1, 2)]
         values = [n[0], n[1], 2 * n[2] - t[0], 2 * n[3] - t[1]]
-        rows, start = [], 0
+        rows, start = [(SUMS, at, len(words), b"")], 0
         for c, x in zip(chunk, found, strict=True):
             mine = where[start : start + x.shape[1]]
-            rows.append(_row(WORD_ANSWERS, table.column("bucket")[0].as_py(), c, np.zeros(len(mine)), *[v[mine] for v in values]))
+            rows.append(_row(WORD_ANSWERS, at, c, np.zeros(len(mine)), *[v[mine] for v in values]))
             start += x.shape[1]
         return pa.Table.from_batches([_batch(rows)])
 
-    return parts.groupBy("bucket").applyInArrow(run, PART)
+    return asked.groupBy("bucket").applyInArrow(run, PART)
 
 
 def score_chunks(parts: DataFrame, hot: np.ndarray, buckets: int, sums: tuple[int, int, int]) -> DataFrame:
@@ -233,7 +264,7 @@ def score_chunks(parts: DataFrame, hot: np.ndarray, buckets: int, sums: tuple[in
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket")
         whole = table.filter(pa.compute.equal(table.column("kind"), STORE)).to_pylist()[0]
-        c = Chunk(whole["hashes"], whole["stream"], whole["lengths"], hot, buckets)
+        c = Chunk(whole).pair(hot, buckets)
         answer = lambda kind, k: np.concatenate([np.zeros((k, 0)), *_of_kind(table, kind)[1]], axis=1)[1:].astype(float)
         counts = answer(WORD_ANSWERS, 5)
         pairs = np.empty((2, len(c.pairs)))
@@ -254,22 +285,31 @@ def score_chunks(parts: DataFrame, hot: np.ndarray, buckets: int, sums: tuple[in
     return parts.groupBy("chunk").applyInArrow(run, SCORES)
 
 
+def _marked(docs: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
+    """The chunks as a written table, each with the places of its target documents."""
+    store, at = staged(chunks(docs, chunk), "chunks")
+    wanted = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("id")).distinct()
+    # Labels grow with the documents: the plan that holds at any size is used at every size.
+    places = store.select("chunk", F.posexplode("ids").alias("pos", "id")).join(wanted.hint("merge"), "id")
+    marks = places.groupBy("chunk").agg(F.collect_list("pos").alias("targets"))
+    marked = materialize(store.join(marks.hint("merge"), "chunk", "left"), "marked-chunks")
+    discard(docs.sparkSession, [at])
+    return marked
+
+
 def score_corpus(docs: DataFrame, labels: DataFrame, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for each row, under the models of all rows."""
-    store = materialize(chunks(docs, chunk), "chunks")
-    tokens = store.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    store = _marked(docs, labels, chunk)
+    all_of = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    target_of = F.aggregate(F.coalesce("targets", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, p: a + F.get("lengths", p))
+    tokens, target = (n or 0 for n in store.select(F.sum(all_of), F.sum(target_of)).first())
     buckets = -(-tokens // bucket) or 1
     # A word that has 2 / HOT of all tokens has half of them in chunks where it has 1 / HOT or more.
     heavy = store.select(F.inline("heavy")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * HOT >= tokens).collect()
     hot = np.array([r["h"] for r in heavy], np.int64).view(np.uint64)
-    wanted = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    # Labels grow with the documents: the plan that holds at any size is used at every size.
-    places = store.select("chunk", F.posexplode("ids").alias("pos", "id")).join(wanted.hint("merge"), "id")
-    marks = places.groupBy("chunk").agg(F.collect_list("pos").alias("targets"))
-    marked = store.select("chunk", "lengths", "hashes", "stream").join(marks.hint("merge"), "chunk", "left")
-    counted = materialize(count_pairs(questions(marked, hot, buckets), buckets), "counted")
-    parts = [unpack(bytes(r["data"]))[1:, 0].astype(object) for r in counted.where(F.col("kind") == SUMS).collect()]
-    sums = tuple(int(x) for x in sum(parts)) if parts else (0, 0, 0)
-    answers = counted.where(F.col("kind") == PAIR_ANSWERS).unionByName(count_words(counted.where(F.col("kind").isin(WORDS, TYPES))))
-    stored = store.select(F.lit(STORE).alias("kind"), F.lit(-1).cast("long").alias("bucket"), "chunk", "ids", "lengths", "hashes", "stream")
-    return score_chunks(stored.unionByName(answers, allowMissingColumns=True), hot, buckets, sums)
+    pairs = materialize(count_pairs(ask_pairs(store, hot, buckets), buckets), "pair-counts")
+    words = materialize(count_words(ask_words(store, buckets).unionByName(pairs.where(F.col("kind") == TYPES))), "word-counts")
+    distinct = words.where(F.col("kind") == SUMS).agg(F.sum("chunk")).first()[0] or 0
+    answers = pairs.where(F.col("kind") == PAIR_ANSWERS).unionByName(words.where(F.col("kind") == WORD_ANSWERS))
+    stored = store.select(F.lit(STORE).alias("kind"), F.lit(-1).cast("long").alias("bucket"), "chunk", "ids", "lengths", "hashes", "stream", "targets")
+    return score_chunks(stored.unionByName(answers, allowMissingColumns=True), hot, buckets, (distinct, tokens, target))
