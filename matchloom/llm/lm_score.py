@@ -15,8 +15,9 @@ All counts cover all tokens and are shuffled as partial counts; only the vocabul
 proven size, reach the driver and the workers.
 
 Cases: null and empty texts have no tokens and null losses and score; equal texts have equal scores; several labels of a
-doc_id count if any says target; without target documents the target model is uniform; an empty table gives no rows;
-other columns, whatever their names, are not read.
+doc_id count if any says target; without target documents the target model is uniform; an empty table gives no rows; a
+very long text is one document of all its words, and of a chunk of its own in `lm_corpus.py`; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ pairs would, and each link of the chain is verified by its differing bits.
 
 Cases: null and empty texts have no words and the fingerprint zero, and link like any other; texts of one or two words
 are one shingle; repeated rows and equal texts share a fingerprint; equal doc_ids get a row each; a component's id is its
-smallest doc_id that isn't null, or null if there is none; an empty table gives no rows; other columns are not read by
-`group`. `keep_one` returns one row for each component, the first of those with its id, and of a component without any id
+smallest doc_id that isn't null, or null if there is none; an empty table gives no rows; a very long text is read whole,
+its shingles a few thousand at a time; other columns are not read by `group`. `keep_one` returns one row for each component, the first of those with its id, and of a component without any id
 one row; components that share an id have one row together. It returns all columns as they were.
 """
 

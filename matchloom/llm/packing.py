@@ -8,7 +8,8 @@ last few pieces are packed best-fit decreasing. The result is a list of runs: th
 [lo, hi) go to consecutive sequences at one offset. Each piece then finds its run by a binary search, in parallel.
 
 Cases: a null or empty text is one piece that holds the end id; repeated rows and equal doc_ids are packed one by one;
-null doc_ids stay null; an empty table gives no rows; other columns, whatever their names, are not read.
+null doc_ids stay null; an empty table gives no rows; a very long text is cut into pieces as it is encoded, whole; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -67,6 +68,29 @@ def test_redaction_takes_all_spans_and_keeps_the_rest(docs, rows):
             assert got[r[0]]["text"] == r[1]
 
 
+def test_many_matches_take_linear_time(spark):
+    """32,000 access keys in a text: an array that grows by appending took 99 seconds for them."""
+    rng = random.Random(3)
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGH0123") for _ in range(16)) for _ in range(32_000)]
+    text = " ".join(keys)
+    docs = spark.createDataFrame([(1, text, len(text)), (2, "none here", 9)], "doc_id long, text string, n_chars long")
+    secrets.scan(docs.where("doc_id = 2")).collect()
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert time.perf_counter() - began < 20
+    assert (got[1]["n_assign"], got[1]["n_access"], got[1]["n_hex"], got[1]["base_sha256"]) == brute_secrets(text)
+    assert clean == {1: " ".join(["[secret]"] * 32_000), 2: "none here"}
+
+
+def test_masks_join_what_overlaps(spark):
+    """Spans of several kinds that overlap, blocks that a span crosses, and text behind the last span."""
+    hidden = "0123456789abcdef" * 3
+    texts = [f"password={hidden} end", "x" * 4090 + " token: AKIA" + "Q" * 30 + " \U0001f600 " + "y" * 9000 + " " + hidden, hidden, f"{hidden} {hidden}", "AKIA" + "A" * 5000 + "z"]
+    got = [r["text"] for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["[secret] end", "x" * 4090 + " [secret] \U0001f600 " + "y" * 9000 + " [secret]", "[secret]", "[secret] [secret]", "[secret]z"]
+
+
 def brute_rules(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
@@ -95,6 +119,66 @@ def test_boilerplate_is_counted_per_host_and_depletes(spark):
     assert all(got[200 + i]["kept"] for i in range(50))
 
 
+def test_texts_without_boilerplate(spark):
+    rows = [(i, "h", f"Shared line {i}\n\nbody of {chr(97 + i)}\n  shared  LINE 7 ", 1.5) for i in range(26)] + [(90, "g", "Shared line 1", 2.5), (None, "h", "Shared line 9", None), (91, "h", None, 0.0), (92, None, "", 0.0)]
+    out = rules.without_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string, score double"))
+    assert out.columns == ["doc_id", "source", "text", "score"]
+    want = [(i, "h", f"\nbody of {chr(97 + i)}", 1.5) for i in range(26)] + [(90, "g", "Shared line 1", 2.5), (None, "h", "", None), (91, "h", None, 0.0), (92, None, "", 0.0)]
+    assert Counter(map(tuple, out.collect())) == Counter(want)
+
+
+def test_rows_without_ids_are_mixed_one_by_one(spark):
+    """Half of all ids null, and some rows that share an id: each source ends within a document of its target."""
+    rng = random.Random(12)
+    rows = [(None if i % 2 else 7 if i % 10 == 0 else i, " ".join(f"w{i}x{j}" for j in range(rng.randint(1, 12))), f"s{i % 3}") for i in range(600)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert len(out) == 600
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in out if r["pattern"] == [s]]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"][0]) <= 12
+    again = mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(2)).collect()
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in out) == Counter((r["doc_id"], r["size"], r["taken"]) for r in again)
+
+
+def test_copies_name_all_sources_of_a_text(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "one text", "b"), (2, "one text", "a"), (3, "one text", "a"), (4, "two", None), (5, "two", "a"), (6, None, "b"), (7, "", "c")]
+    held = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["doc_id"]: r["held_by"] for r in held.collect()} == {1: ["a", "b"], 2: ["a", "b"], 3: ["a", "b"], 4: ["a", None], 5: ["a", None], 6: ["b", "c"], 7: ["b", "c"]}
+    out = mixing.mix(held, memberships=F.col("held_by")).collect()
+    assert {r["doc_id"]: r["pattern"] for r in out} == {r["doc_id"]: r["held_by"] for r in held.collect()}
+
+
+def brute_cost(capacity, wanted, most):
+    """Words sent and their least cost, over all ways to send whole words."""
+    arcs = [(p, s) for p in capacity for s in p]
+    best = (0, 0)
+
+    def go(i, sent, left):
+        nonlocal best
+        if i == len(arcs):
+            cost = sum(min(max(sent[p] - (r - 1) * n, 0), n) * r * r for p, n in capacity.items() for r in range(1, most + 1))
+            best = min(best, (-sum(sent.values()), cost))
+            return
+        p, s = arcs[i]
+        for x in range(min(left[s], most * capacity[p] - sent[p]) + 1):
+            go(i + 1, sent | {p: sent[p] + x}, left | {s: left[s] - x})
+
+    go(0, dict.fromkeys(capacity, 0), dict(wanted))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_flow_has_the_least_cost(seed):
+    rng = random.Random(seed)
+    capacity = {p: rng.randint(1, 3) for p in rng.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("c",)], 3)}
+    wanted = {s: rng.randint(1, 5) for s in sorted({s for p in capacity for s in p})}
+    sent = {p: sum(v.values()) for p, v in mixing.flow(capacity, wanted, 3).items()}
+    cost = sum(min(max(sent[p] - (r - 1) * n, 0), n) * r * r for p, n in capacity.items() for r in (1, 2, 3))
+    assert (-sum(sent.values()), cost) == pytest.approx(brute_cost(capacity, wanted, 3))
+
+
 def test_mix_meets_its_targets(docs, rows):
     out = mixing.mix(docs).collect()
     assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)

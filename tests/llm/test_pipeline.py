@@ -53,6 +53,33 @@ def test_stages_are_brute_force(spark, docs, rows, tmp_path):
     assert len(WORD.findall("a b")) == 2 and kept
 
 
+def test_rows_without_ids_reach_the_end(spark, tmp_path):
+    """Unlike texts without doc_id pass near-dedup, secret scans and mixing one by one, and are packed."""
+    import random
+
+    from test_near_dup import unlike_rows
+
+    rows, want = unlike_rows(random.Random(4))
+    docs = spark.createDataFrame([(d, t, "en", None, len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        if not name.startswith("mixing"):
+            assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == want
+    pieces = pipeline.STAGES[4][1](spark, docs, str(tmp_path))
+    assert pieces.where("piece = 0").count() == docs.count() == sum(want.values())
+
+
+def test_stages_leave_no_tables_behind(spark, docs, tmp_path):
+    from matchloom.llm import common
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = set(common._WRITTEN)
+    out = pipeline.run(spark, str(tmp_path))
+    left = set(common._WRITTEN) - before
+    assert out.count() >= 0 and [p.rpartition("/")[2].split("-")[0] for p in left] == ["best"]
+
+
 def test_run_gives_the_last_stage(spark, docs, tmp_path):
     docs.where("doc_id < 30").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

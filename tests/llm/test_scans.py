@@ -54,6 +54,128 @@ def test_broken_expressions(text):
         license_scan.evaluate(text)
 
 
+def brute_expression(text):
+    """Ids, strength and whether it breaks off, by recursive descent over the longest list of tokens that parses."""
+    tokens, spot = [], 0
+    while m := re.compile(r"[ \t]*([()]|[a-z0-9][a-z0-9.+-]*)").match(text, spot):
+        tokens.append(m[1].rstrip(".-") or m[1])
+        spot = m.end()
+        if m[1] not in "()" and m[1][-1] in ".-":
+            break
+
+    def strict(tokens):
+        rest, ids = list(tokens), []
+
+        def atom():
+            t = rest.pop(0)
+            if t == "(":
+                value = either()
+                assert rest.pop(0) == ")"
+                return value
+            assert t not in ("and", "or", "with", ")")
+            ids.append(t)
+            return license_scan.strength(t)
+
+        def exception():
+            value = atom()
+            while rest and rest[0] == "with":
+                rest.pop(0)
+                n = len(ids)
+                atom()
+                del ids[n:]
+                value -= value in (1, 2)
+            return value
+
+        def both():
+            value = exception()
+            while rest and rest[0] == "and":
+                rest.pop(0)
+                value = max(value, exception())
+            return value
+
+        def either():
+            value = both()
+            while rest and rest[0] == "or":
+                rest.pop(0)
+                value = min(value, both())
+            return value
+
+        value = either()
+        assert not rest
+        return ids, value
+
+    for n in range(len(tokens), 0, -1):
+        try:
+            found = strict(tokens[:n])
+        except (AssertionError, IndexError):
+            continue
+        following = tokens[n] if n < len(tokens) else ""
+        if n == 1 and following and following not in ("and", "or", "with", "(", ")") and found[1] == 3 and "-" not in tokens[0]:
+            return [], None, True
+        return *found, following in ("and", "or", "with", "(", ")") and following != ""
+    return [], None, True
+
+
+PHRASE_WORDS = {p: p.split() for p in (*license_scan.BASE, *license_scan.PHRASES)}
+
+
+def brute_labels(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    spans = [m.span() for m in WORD.finditer(lowered)]
+    words = [lowered[a:b] for a, b in spans]
+    labels, doubt = set(), 1.0
+    for phrase, p in PHRASE_WORDS.items():
+        if any(words[i : i + len(p)] == p for i in range(len(words))):
+            label, confidence = license_scan.PHRASES.get(phrase, (license_scan.BASE.get(phrase), license_scan.BASE_CONFIDENCE))
+            labels.add(label)
+            doubt *= 1 - confidence
+    for i in range(len(words)):
+        if words[i : i + 3] == ["spdx", "license", "identifier"]:
+            ids, level, broken = brute_expression(re.sub(r"^[ \t]*:?", "", lowered[spans[i + 2][1] :]))
+            labels |= {f"spdx:{x}" for x in ids} | ({"spdx-invalid"} if broken else set())
+            if level is not None:
+                labels.add(f"spdx-{license_scan.STRENGTHS[level]}")
+                doubt *= 1 - license_scan.TAG_CONFIDENCE
+    return ",".join(sorted(labels)), round(1 - doubt, 9)
+
+
+TAGGED = [
+    "SPDX-License-Identifier: MIT. See LICENSE file.",
+    "SPDX License Identifier: MIT",
+    "spdx-license-identifier MIT OR (Apache-2.0 AND GPL-2.0+) and more words",
+    "// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */\nint main",
+    "SPDX-License-Identifier: see LICENSE",
+    "SPDX-License-Identifier: Proprietary\nSPDX-License-Identifier: LGPL-2.1 (or later)",
+    "SPDX-License-Identifier: (MIT OR",
+    "SPDX-License-Identifier:\nMIT",
+    "SPDX-License-Identifier: MIT) and MIT",
+    "the SPDX license identifier. SPDX-License-Identifier: WITH x",
+    "É SPDX-License-Identifier:\tBSD-3-Clause, mit license, all rights reserved",
+    "SPDX-License-Identifier: MIT AND AND MIT",
+    "SPDX-License-Identifier: " + "(" * 3000 + "MIT" + ")" * 3000,
+    "SPDX-License-Identifier: " + "MIT OR " * 3000 + "x",
+]
+
+
+def test_labels_and_score_are_brute_force(spark, rows):
+    import sys
+
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(30_000)
+    texts = [*TAGGED[:-2], *(r[1] for r in rows)]
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: brute_labels(t) for i, t in enumerate(texts)}
+    sys.setrecursionlimit(before)
+    assert got == want
+    assert got[0] == ("spdx-permissive,spdx:mit", 0.9) == got[1]
+
+
+def test_long_expressions_are_read_whole():
+    machine = license_scan.automaton()
+    assert license_scan.scan_text(machine, TAGGED[-2])[5:] == ("spdx-permissive,spdx:mit", pytest.approx(0.9))
+    assert license_scan.scan_text(machine, TAGGED[-1])[5] == "spdx-permissive,spdx:mit,spdx:x"
+
+
 def area_mean(pixels, height, width):
     out = np.zeros((height, width))
     h, w = pixels.shape
@@ -101,6 +223,29 @@ def test_texts_as_images(docs, rows):
         assert by_payload.setdefault(r["payload_sha256"], (r["media_sha256"], r["feature"], r["media_bytes"])) == (r["media_sha256"], r["feature"], r["media_bytes"])
 
 
+def test_media_and_features_are_brute_force(docs, rows):
+    """The stored image by its published format, and the feature by area means and by numpy's own file."""
+    got = Counter((r["doc_id"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in media.text_features(media.store_texts(docs)).collect())
+    want = Counter()
+    for r in rows:
+        raw = (r[1] or "").encode()
+        payload = raw + b"\xff" * (576 if not raw else -len(raw) % 576)
+        stored = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
+        pixels = np.frombuffer(payload, np.uint8).reshape(-1, 24).astype(float)
+        small = area_mean(pixels, 8, 9) if len(raw) < 3000 else media.resize(pixels, 8, 9)
+        bits = "".join(str(int(b > a + 1e-9)) for row in small for a, b in zip(row, row[1:], strict=False))
+        tile = np.floor((area_mean(pixels, 32, 32) if len(raw) < 3000 else media.resize(pixels, 32, 32)) + 0.5 + 1e-6).astype(np.uint8, order="C")
+        file = io.BytesIO()
+        np.save(file, tile)
+        want[r[0], len(stored), hashlib.sha256(stored).hexdigest(), f"{int(bits, 2):016x}:{zlib.crc32(file.getvalue()):08x}"] += 1
+    assert got == want
+
+
+def test_tiles_are_written_as_npy(docs):
+    for r in media.text_tiles(media.store_texts(docs)).collect():
+        assert np.load(io.BytesIO(r["tile"])).shape == (32, 32)
+
+
 def test_tiles(spark):
     image = np.arange(64 * 64, dtype=np.uint32).reshape(64, 64).astype(np.uint8)
     out = {r["k"]: r for r in media.tiles(spark.createDataFrame([(1, bytearray(media.encode_netpbm(image))), (2, None), (3, bytearray(b"junk"))], "k long, m binary"), "k", "m").collect()}
