@@ -4,6 +4,13 @@ Documents that the quality classifier rejects go; of every group of near-duplica
 masked; sources are mixed to their target weights, a document standing there as often as the mix takes it; and all is
 packed into sequences. The stages train models and pack by linear programs, so no SQL gives these rows; the tests hold
 each stage against a brute-force version.
+
+Cases: rows with a null doc_id are kept, mixed and packed one by one, by their texts; null and empty texts are scored as
+empty, are near-duplicates of each other, have no secrets and size 0, so the mix takes all or none of them, and make one
+piece that holds the end id; rows with one doc_id and unlike texts share a component id, so near-dedup keeps one of them;
+repeated rows are copies of each other; a null source is a source of its own; very long texts pass every stage whole; an
+empty table, or one that a stage empties, gives no rows; without labels of both classes the classifier keeps or rejects
+all rows by the share of label 1; other columns, whatever their names, travel along up to the packing.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm import mixing, near_dup, packing, quality, secrets
-from matchloom.llm.common import documents, materialize, table
+from matchloom.llm.common import discard, documents, scratch, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,7 +57,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """Every stage is a written table; what a stage wrote on its way, and the table it read, are deleted then."""
+    docs, read = documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        with scratch(spark) as kept:
+            docs, path = staged(stage(spark, docs, sf_dir), name.split()[0].lower())
+            kept.add(path)
+        discard(spark, read)
+        read = [path]
     return docs
