@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 OTHER = r"[^\p{L}\p{N}_\s'-]"
 TOKEN = r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*"
 NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)?"
+#: Fixed value: the numbers of a raw text.
+RAW_NUMBER = r"\p{Nd}+(?:\.\p{Nd}+)?"
 #: Whole-token abbreviations of streets.
 ABBREVIATIONS = {"rd": "road", "st": "street", "ave": "avenue", "blvd": "boulevard", "ln": "lane"}
 
@@ -66,3 +68,8 @@ def tokens(normalized: Column) -> Column:
 
 def numbers(normalized: Column) -> Column:
     return F.regexp_extract_all(normalized, F.lit(NUMBER), F.lit(0))
+
+
+def raw_numbers(text: Column) -> Column:
+    """Numbers of a raw text, where a record has no extracted ones: only a point divides whole and part."""
+    return F.regexp_extract_all(strip(present(text)), F.lit(RAW_NUMBER), F.lit(0))

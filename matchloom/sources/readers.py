@@ -12,8 +12,9 @@ from ..schema import SOURCE, TRUTH, SchemaError
 FILES = {"S1": "source1.tsv", "S2": "source2.tsv", "S3": "source3.tsv"}
 
 
-def _tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
+def _tsv(spark: SparkSession, path: str, schema: StructType, quoted_breaks: bool = False) -> DataFrame:
+    """Files are split between tasks at line breaks, unless `quoted_breaks` says that values hold some: then a file is one task's."""
+    options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": quoted_breaks, "mode": "FAILFAST"}
     header = spark.read.options(**options).csv(path).columns
     if missing := [c for c in schema.fieldNames() if c not in header]:
         raise SchemaError(f"{path}: missing columns {missing}")
@@ -21,20 +22,28 @@ def _tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(all_text).options(**options).csv(path).na.fill("")
 
 
+def missing_columns(df: DataFrame) -> list[str]:
+    return [c for c in SOURCE.fieldNames() if c not in df.columns]
+
+
+def source_problems(df: DataFrame) -> DataFrame:
+    """problem, entity_id, n: ids that are empty (as one row) or stand in several rows, from one aggregation."""
+    blank = F.trim(F.coalesce("entity_id", F.lit(""))) == ""
+    ids = df.groupBy(F.when(~blank, F.col("entity_id")).otherwise("").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
+    return ids.where("entity_id = '' OR n > 1").select(F.when(F.col("entity_id") == "", "empty entity_id").otherwise("repeated entity_id").alias("problem"), "entity_id", "n")
+
+
 def check_source(df: DataFrame, source: str = "source") -> DataFrame:
     """The frame itself, or SchemaError for missing columns, empty ids or repeated ids."""
-    if missing := [c for c in SOURCE.fieldNames() if c not in df.columns]:
+    if missing := missing_columns(df):
         raise SchemaError(f"{source}: missing columns {missing}")
-    if not df.where(F.trim(F.coalesce("entity_id", F.lit(""))) == "").isEmpty():
-        raise SchemaError(f"{source}: empty entity_id")
-    twice = [r["entity_id"] for r in df.groupBy("entity_id").count().where("count > 1").orderBy("entity_id").limit(10).collect()]
-    if twice:
-        raise SchemaError(f"{source}: repeated entity_id, first ones {twice}")
+    if found := source_problems(df).orderBy("problem", "entity_id").limit(10).collect():
+        raise SchemaError(f"{source}: {found[0]['problem']}, first ones {[r['entity_id'] for r in found]}")
     return df
 
 
-def read_source(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    df = _tsv(spark, path, SOURCE)
+def read_source(spark: SparkSession, path: str, check: bool = True, quoted_breaks: bool = False) -> DataFrame:
+    df = _tsv(spark, path, SOURCE, quoted_breaks)
     return check_source(df, path) if check else df
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import LinkageError
+from ..schema import PAIR, SOURCE, LinkageError
+from .scratch import written
 
 
 def _mode(overwrite: bool) -> str:
@@ -44,6 +45,21 @@ def write_lists(lists: DataFrame, path: str, *, single_file: bool = False) -> No
     (ordered.coalesce(1) if single_file else ordered).write.mode("overwrite").options(sep="\t", header=True, quote="", escapeQuotes=False, emptyValue="", nullValue="").csv(path)
 
 
-def write_both_outputs(entities: DataFrame, candidates: DataFrame, matches: DataFrame, folder: str) -> None:
-    write_lists(list_per_entity(entities, candidates, "candidate_entity_ids"), f"{folder}/candidates.tsv")
-    write_lists(list_per_entity(entities, matches, "matched_entity_ids"), f"{folder}/matches.tsv")
+def write_source(df: DataFrame, path: str) -> None:
+    """The raw columns of a source, tab-separated, as `readers.read_source` reads them."""
+    df.select(*SOURCE.fieldNames()).write.mode("overwrite").options(sep="\t", header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def both_lists(entities: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """source1_entity_id, candidate_entity_ids, matched_entity_ids of each entity, from one aggregation of both."""
+    rows = candidates.select(*PAIR, F.lit(0).alias("of")).unionByName(matches.select(*PAIR, F.lit(1).alias("of")))
+    ids = [F.array_join(F.array_sort(F.collect_set(F.when(F.col("of") == i, F.col(PAIR[1])))), ",").alias(c) for i, c in enumerate(("candidate_entity_ids", "matched_entity_ids"))]
+    return entities.select(F.col("entity_id").alias(PAIR[0])).distinct().join(rows.groupBy(PAIR[0]).agg(*ids), PAIR[0], "left").na.fill("")
+
+
+def write_both_outputs(entities: DataFrame, candidates: DataFrame, matches: DataFrame, folder: str) -> DataFrame:
+    """Write both lists from one computation: they are aggregated once into a table, which is returned, and written from it."""
+    lists = written(both_lists(entities, candidates, matches), "lists")
+    write_lists(lists.select(PAIR[0], "candidate_entity_ids"), f"{folder}/candidates.tsv")
+    write_lists(lists.select(PAIR[0], "matched_entity_ids"), f"{folder}/matches.tsv")
+    return lists
