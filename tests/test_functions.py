@@ -82,3 +82,17 @@ def test_udf_and_native_lcs_agree(spark):
         a, b = r["a"] or "", r["b"]
         assert r["n"] == scorers.lcs(a, b)
         assert [r["s"][n] for n in scorers.SCORERS] == pytest.approx([scorers._BY_NAME[n](a, b) for n in scorers.SCORERS])
+
+
+def test_windows_in_numpy_are_those_of_one_pair():
+    import random
+
+    rng = random.Random(4)
+
+    def text():
+        return " ".join("".join(rng.choice("abcdeüé\U0001f600") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(0, 7)))
+
+    pairs = [(text(), text()) for _ in range(400)]
+    pairs += [(a, a[::-1]) for a, _ in pairs[:60]] + [("x" * 70, "y" * 3 + "x" * 80), ("a" * 62, "b" * 62), ("a" * 62, "c" + "a" * 61), ("", ""), ("a", ""), ("a\0b", "a\0bc\0")]
+    assert scorers.partial_ratios(pairs).tolist() == [scorers.partial_ratio(a, b) for a, b in pairs]
+    assert scorers.partial_ratios([]).tolist() == []
