@@ -124,8 +124,9 @@ def select_matches(scored: DataFrame, threshold: float, score: str = "score") ->
 def threshold_table(truth: DataFrame, scored: DataFrame, score: str = "score", grid: list[float] | None = None) -> DataFrame:
     """macro_f05 of every threshold, in one pass over pairs.
 
-    Every pair falls into the last grid step that still selects it; counts per entity and step are summed from the top,
-    so the work is pairs plus entities times steps, not pairs times steps.
+    Every pair falls into the last grid step that still selects it. As the threshold falls, an entity's F0.5 changes at
+    the steps of its own pairs alone, so only these changes are summed by step, and the sums cumulated over the grid: the
+    work is pairs plus entities, not entities times steps.
     """
     grid = [i / 100 for i in range(101)] if grid is None else sorted(grid)
     if not grid:
@@ -134,16 +135,16 @@ def threshold_table(truth: DataFrame, scored: DataFrame, score: str = "score", g
     step = F.size(F.filter(steps, lambda t: t <= F.col("s")))
     flagged = scored.select(*PAIR, F.col(score).alias("s")).join(truth_pairs(truth).withColumn("t", F.lit(1)), list(PAIR), "left")
     counts = flagged.withColumn("step", step).groupBy(PAIR[0], "step").agg(F.count(F.lit(1)).alias("predicted"), F.count("t").alias("tp"))
-    per_entity = counts.groupBy(PAIR[0]).agg(F.collect_list(F.struct("step", "predicted", "tp")).alias("hits"))  # one struct per step at most
     true = truth.select(PAIR[0], F.size(F.array_distinct("matched")).alias("n_true"))
-    rows = true.join(per_entity, PAIR[0], "left").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))))
-
-    def above(field: str) -> Column:
-        reached = F.filter(F.coalesce("hits", F.array().cast("array<struct<step:int,predicted:bigint,tp:bigint>>")), lambda h: h["step"] >= F.col("i"))
-        return F.aggregate(reached, F.lit(0).cast("long"), lambda acc, h: acc + h[field])
-
-    _, _, f05 = _f05(above("tp"), above("predicted"), F.col("n_true"))
-    return rows.select(F.element_at(steps, F.col("i")).alias("threshold"), f05.alias("f05")).groupBy("threshold").agg(F.avg("f05").alias("macro_f05"))
+    down = Window.partitionBy(PAIR[0]).orderBy(F.desc("step"))
+    reached = counts.where("step > 0").join(true, PAIR[0]).select(PAIR[0], "step", "n_true", F.sum("tp").over(down).alias("tp"), F.sum("predicted").over(down).alias("predicted"))
+    scores = reached.select(PAIR[0], "step", "n_true", _f05(F.col("tp"), F.col("predicted"), F.col("n_true"))[2].alias("f05"))
+    start = F.when(F.col("n_true") == 0, 1.0).otherwise(0.0)  # above all pairs nothing is predicted
+    changes = scores.select("step", (F.col("f05") - F.coalesce(F.lag("f05").over(down), start)).alias("change")).groupBy("step").agg(F.sum("change").alias("change"))
+    whole = true.agg(F.sum(start).alias("start"), F.count(F.lit(1)).alias("n"))
+    rows = whole.select("start", "n", F.posexplode(steps).alias("i", "threshold")).withColumn("step", F.col("i") + 1).join(F.broadcast(changes), "step", "left")  # a row a step
+    upto = F.sum(F.coalesce("change", F.lit(0.0))).over(Window.orderBy(F.desc("step")))
+    return rows.select("threshold", ((F.col("start") + upto) / F.col("n")).alias("macro_f05"))
 
 
 def best_threshold(truth: DataFrame, scored: DataFrame, score: str = "score", grid: list[float] | None = None) -> DataFrame:

@@ -11,14 +11,23 @@ from ..schema import BLOCKERS, PAIR, LinkageError, SchemaError
 
 RECORD = ("business_name", "business_address", "country", "name_norm", "name_compact", "name_tokens", "address_norm", "address_compact", "address_tokens", "address_numbers")
 
+#: Columns that records may have; where one is missing the country stands for it.
+CODES = ("country_norm", "country_code")
+
+#: Names of features that trained models know.
 NUMERIC = ("numeric_count_1", "numeric_count_2", "numeric_overlap_count", "numeric_jaccard", "numeric_exact_match", "numeric_any_overlap")
 COUNTRY = ("country_exact", "country_norm_exact", "country_code_exact", "country_both_present", "country_missing_1", "country_missing_2")
 
 
 def enrich(pairs: DataFrame, s1: DataFrame, targets: DataFrame, strict: bool = False) -> DataFrame:
     """Pairs with both records as structs `a` and `b`; `strict` refuses pairs whose record is missing."""
-    left = s1.select(F.col("entity_id").alias(PAIR[0]), F.struct(*RECORD).alias("a"))
-    right = targets.select(PAIR[1], "candidate_source", F.struct(*RECORD).alias("b"))
+
+    def record(df: DataFrame) -> Column:
+        codes = [present(F.col(c if c in df.columns else "country")).alias(c) for c in CODES]
+        return F.struct(*RECORD, *codes)
+
+    left = s1.select(F.col("entity_id").alias(PAIR[0]), record(s1).alias("a"))
+    right = targets.select(PAIR[1], "candidate_source", record(targets).alias("b"))
     if strict:
         for side, key in ((left, PAIR[0]), (right, PAIR[1])):
             if lost := pairs.select(key).join(side, key, "left_anti").limit(1).collect():
@@ -79,9 +88,12 @@ def numeric_features() -> dict[str, Column]:
 
 
 def country_features() -> dict[str, Column]:
-    a, b = (F.lower(strip(present(_field(s, "country")))) for s in "ab")
-    same = _equal(a, b)
-    return dict(zip(COUNTRY, (same, same, same, _flag((a != "") & (b != "")), _flag(a == ""), _flag(b == "")), strict=True))
+    def folded(side: str, name: str) -> Column:
+        return F.replace(F.lower(strip(present(_field(side, name)))), F.lit("ß"), F.lit("ss"))
+
+    a, b = (folded(s, "country") for s in "ab")
+    same = [_equal(folded("a", c), folded("b", c)) for c in ("country", *CODES)]
+    return dict(zip(COUNTRY, (*same, _flag((a != "") & (b != "")), _flag(a == ""), _flag(b == "")), strict=True))
 
 
 def lexical_features(field: str, prefix: str, scores: str) -> dict[str, Column]:
@@ -109,8 +121,10 @@ def blocker_features() -> dict[str, Column]:
     return out
 
 
-def source_flags() -> dict[str, Column]:
-    return {f"candidate_is_{s.lower()}": _flag(F.col("candidate_source") == s) for s in ("S2", "S3")}
+def source_flags(by_id: bool = False) -> dict[str, Column]:
+    """Flags by the tag of the target, or `by_id` by the beginning of its id."""
+    of = lambda s: F.col(PAIR[1]).startswith(f"{s}-") if by_id else F.col("candidate_source") == s
+    return {f"candidate_is_{s.lower()}": _flag(of(s)) for s in ("S2", "S3")}
 
 
 #: The double "lexical" is the name that trained models know.

@@ -86,17 +86,28 @@ class Training:
     train_positive_rate: float
     valid_rows: int | None = None
     valid_positive_rate: float | None = None
+    valid_logloss: float | None = None
 
 
-def _shape(df: DataFrame) -> tuple[int, float]:
+def shape(df: DataFrame) -> tuple[int, float]:
+    """Rows and positive rate."""
     row = df.agg(F.count(F.lit(1)), F.avg("label")).first()
     return row[0], row[1]
 
 
+def logloss(scored: DataFrame) -> float | None:
+    """Mean binary cross-entropy of match_probability against label; None without rows."""
+    p = F.least(F.greatest("match_probability", F.lit(1e-15)), F.lit(1 - 1e-15))
+    return scored.agg(F.avg(-F.log(F.when(F.col("label") == 1, p).otherwise(1 - p)))).first()[0]
+
+
 def train(df: DataFrame, features: list[str], valid: DataFrame | None = None, **params) -> Training:
-    """A trained matcher and the shape of what it saw; the validation rows are described, never trained on."""
+    """A trained matcher and the shape of what it saw; the validation rows are described and scored, never trained on."""
     matcher = Matcher(features, params).fit(df)
-    return Training(matcher, *_shape(df), *(_shape(valid) if valid is not None else (None, None)))
+    if valid is None:
+        return Training(matcher, *shape(df))
+    loss = logloss(matcher.score(valid).join(valid.select(*PAIR, "label"), list(PAIR)))
+    return Training(matcher, *shape(df), *shape(valid), loss)
 
 
 def scores_to_map(scored: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PAIR, LinkageError, SchemaError
+from ..sources.scratch import written
 from .evaluation import truth_pairs
 from .features import feature_frame
 
@@ -88,9 +89,16 @@ def _groups(df: DataFrame, group: str) -> DataFrame:
 
 
 def _numbered(groups: DataFrame, group: str, order: list) -> DataFrame:
-    """Groups with place 0, 1, ... in an order, numbered by range partitions: no single task sorts all groups."""
-    ordered = groups.orderBy(*order).select(group).rdd.map(lambda r: r[0]).zipWithIndex()
-    return groups.sparkSession.createDataFrame(ordered, f"{group} {groups.schema[group].dataType.simpleString()}, place long")
+    """Groups with place 0, 1, ... in an order, numbered by range partitions: no single task sorts all groups.
+
+    A range partition numbers its own rows; the written table fixes these numbers, and the rows of the partitions before
+    (one row a partition) are added to them.
+    """
+    at = written(groups.orderBy(*order).select(group, F.monotonically_increasing_id().alias("at")), "numbered")
+    own = at.select(group, F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("own"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = own.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    return own.join(bases, "part").select(group, (F.col("base") + F.col("own")).alias("place"))
 
 
 def batches(entities: DataFrame, size: int, key: str = "entity_id") -> DataFrame:
@@ -100,6 +108,11 @@ def batches(entities: DataFrame, size: int, key: str = "entity_id") -> DataFrame
     return _numbered(entities.select(key).distinct(), key, [F.col(key)]).select(key, F.floor(F.col("place") / size).alias("batch"))
 
 
+def next_batch(numbered: DataFrame) -> DataFrame:
+    """One row: the number that follows the highest batch, 0 without any."""
+    return numbered.agg((F.coalesce(F.max("batch"), F.lit(-1)) + 1).cast("long").alias("next_batch"))
+
+
 def split_groups(df: DataFrame, shares: tuple[float, ...], group: str = PAIR[0], seed: int = 42) -> list[DataFrame]:
     """Frames whose groups don't overlap: ceil(share) of all groups for every share after the first, the rest for it."""
     if any(not 0 < s < 1 for s in shares[1:]) or sum(shares[1:]) >= 1:
