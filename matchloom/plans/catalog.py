@@ -222,7 +222,8 @@ def _(r: Records) -> DataFrame:
 
 @_records("features_full")
 def _(r: Records) -> DataFrame:
-    return features.feature_frame(_united(r), r.s1, r.targets)
+    frame = features.feature_frame(_united(r), r.s1, r.targets)
+    return frame.select(*[_rounded(c, c) if t == "double" else c for c, t in frame.dtypes])
 
 
 @_records("jaro_winkler")
@@ -323,7 +324,7 @@ def _(r: Records) -> DataFrame:
     return evaluation.macro_f05(r.truth, flows.rule_flow(r.s1, r.targets).matches).select(_rounded("macro_f05", "macro_f05"))
 
 
-#: The highest score the heuristic can give, so that scores divided by it lie in [0, 1].
+#: Fixed value: the highest score the heuristic can give, so that scores divided by it lie in [0, 1].
 TOP_SCORE = 2210.0
 
 

@@ -51,6 +51,13 @@ def load(spark: SparkSession, sf_dir: str, mode: str = "portable") -> Records:
     return _LOADED[key]
 
 
+def forget() -> None:
+    """Drop all kept records, so that the next query reads its folder again."""
+    for records in _LOADED.values():
+        records.raw.unpersist()
+    _LOADED.clear()
+
+
 def _load(spark: SparkSession, sf_dir: str, mode: str) -> Records:
     raw = raw_records(spark, sf_dir)
     if raw.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a file of one row group, else all work of one core

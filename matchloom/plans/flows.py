@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import blocking, evaluation, features, model, nearest, pairs, ranking
 from ..schema import PAIR, LinkageError
 from ..sources import writers
+from ..sources.scratch import written
 
 
 @dataclass
@@ -35,26 +36,66 @@ def generate(s1: DataFrame, targets: DataFrame, *, use_dense: bool = False, top_
     return blocking.candidate_union(*blocked)
 
 
+def selective_report(s1: DataFrame, targets: DataFrame, truth: DataFrame, existing: DataFrame, max_candidates: int = 2_000_000) -> DataFrame:
+    """name, n_prefix and the report of every configuration of selective prefixes united with the existing candidates.
+
+    A configuration of more than `max_candidates` prefix pairs is not evaluated: its row has nulls behind n_prefix.
+    """
+    known, blocked, sizes = written(existing.select(*PAIR).distinct(), "existing"), {}, []
+    for name in blocking.SELECTIVE:
+        found = written(blocking.selective_prefix(s1, targets, name), "prefix-pairs")
+        sizes.append((name, found.count()))
+        if sizes[-1][1] <= max_candidates:
+            blocked[name] = found.unionByName(known)
+    counts = s1.sparkSession.createDataFrame(sizes, "name string, n_prefix long")
+    if not blocked:
+        raise LinkageError("every configuration exceeds the limit")
+    return counts.join(evaluation.compare(blocked, evaluation.truth_pairs(truth), s1), "name", "left")
+
+
 @dataclass
 class Trained:
+    """`macro_f05` is that of the entities that chose the threshold, `held_out_f05` that of entities that nothing has seen."""
+
     matcher: model.Matcher
     threshold: float
     macro_f05: float
+    held_out_f05: float
+    training: model.Training
     importance: DataFrame
 
 
+@dataclass
+class Judged:
+    threshold: float
+    tune_f05: float
+    held_out_f05: float
+
+
+def judge(tune: DataFrame, held: DataFrame, scored: DataFrame, score: str) -> Judged:
+    """The threshold that is best for the entities of `tune`, and its macro F0.5 there and on those of `held`.
+
+    Both are truth tables with all their entities: one without candidates has an empty prediction.
+    """
+    best = evaluation.best_threshold(tune, scored, score).first()
+    found = evaluation.select_matches(scored, best["threshold"], score)
+    return Judged(best["threshold"], best["macro_f05"], evaluation.macro_f05(held, found).first()[0])
+
+
+def three_truths(truth: DataFrame, seed: int = 42) -> list[DataFrame]:
+    """The truth of the entities to train on, to tune and to evaluate with."""
+    return pairs.split_groups(truth, (0.7, 0.15, 0.15), PAIR[0], seed)
+
+
 def train_flow(candidates: DataFrame, s1: DataFrame, targets: DataFrame, truth: DataFrame, *, use_blockers: bool = True, **params) -> Trained:
-    """Features, labels, a group-safe split, training, and the best threshold on the validation entities."""
-    frame = pairs.label(features.feature_frame(candidates, s1, targets), truth).persist()
-    try:
-        train, valid = pairs.train_validation(frame)
-        columns = features.select_families(frame, blocker=use_blockers)
-        trained = model.train(train, columns, valid, **params)
-        held = truth.join(valid.select(PAIR[0]).distinct(), PAIR[0], "left_semi")
-        best = evaluation.best_threshold(held, trained.matcher.score(valid), "match_probability").first()
-    finally:
-        frame.unpersist()
-    return Trained(trained.matcher, best["threshold"], best["macro_f05"], trained.matcher.importance(s1.sparkSession))
+    """Features and labels, entities of the truth split in three, training, threshold on the second and score on the third."""
+    frame = written(pairs.label(features.feature_frame(candidates, s1, targets), truth), "training")
+    parts = three_truths(truth)
+    train, tune, _ = (frame.join(part.select(PAIR[0]), PAIR[0], "left_semi") for part in parts)
+    columns = features.select_families(frame, blocker=use_blockers)
+    trained = model.train(train, columns, tune, **params)
+    judged = judge(*parts[1:], written(trained.matcher.score(frame.join(parts[0].select(PAIR[0]), PAIR[0], "left_anti")), "scores"), "match_probability")
+    return Trained(trained.matcher, judged.threshold, judged.tune_f05, judged.held_out_f05, trained, trained.matcher.importance(s1.sparkSession))
 
 
 def infer_flow(s1: DataFrame, targets: DataFrame, matcher: model.Matcher, threshold: float, *, k: int = 30, cap: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -67,5 +108,6 @@ def infer_flow(s1: DataFrame, targets: DataFrame, matcher: model.Matcher, thresh
 
 def submit(s1: DataFrame, candidates: DataFrame, matches: DataFrame, folder: str) -> DataFrame:
     """Write both lists and return the integrity report."""
-    writers.write_both_outputs(s1, candidates, matches, folder)
-    return evaluation.integrity(s1, candidates, matches, writers.list_per_entity(s1, matches, "matched_entity_ids").select(F.col(PAIR[0])))
+    candidates, matches = (written(df.select(*PAIR), "pairs") for df in (candidates, matches))
+    lists = writers.write_both_outputs(s1, candidates, matches, folder)
+    return evaluation.integrity(s1, candidates, matches, lists.select(PAIR[0]))

@@ -88,3 +88,26 @@ def test_prepare(spark, tmp_path):
     paths = prepare.prepare(spark, str(tmp_path / "train"), str(tmp_path / "test"), str(tmp_path / "out"))
     assert len(paths) == 7
     assert spark.read.parquet(paths[0]).first()["name_norm"] == "acme" and spark.read.parquet(paths[-1]).count() == 1
+
+
+def test_quoted_line_breaks_are_read_on_request(spark, tmp_path):
+    path = put(tmp_path / "q.tsv", HEAD + 'S1-1\t"two\nlines"\tx\tUS\n')
+    assert [tuple(r) for r in readers.read_source(spark, path, quoted_breaks=True).collect()] == [("S1-1", "two\nlines", "x", "US")]
+
+
+def test_both_outputs_come_from_one_table(spark, tmp_path):
+    entities = spark.createDataFrame([("S1-2",), ("S1-1",)], "entity_id string")
+    schema = f"{PAIR[0]} string, {PAIR[1]} string"
+    lists = writers.write_both_outputs(entities, spark.createDataFrame([("S1-1", "S3-1"), ("S1-1", "S2-9")], schema), spark.createDataFrame([("S1-1", "S2-9"), ("S1-1", "S2-9")], schema), str(tmp_path / "out"))
+    assert {tuple(r) for r in lists.collect()} == {("S1-1", "S2-9,S3-1", "S2-9"), ("S1-2", "", "")}
+    assert [tuple(r) for r in readers.read_output(spark, str(tmp_path / "out" / "matches.tsv")).orderBy(PAIR[0]).collect()] == [("S1-1", "S2-9"), ("S1-2", "")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from matchloom.sources import scratch
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(LinkageError):
+        scratch.folder(SimpleNamespace(sparkContext=context), "x")

@@ -327,3 +327,85 @@ def test_generator_with_dense_text(sources):
     rows = {(r[0], r[1]): r for r in flows.generate(s1, t, use_dense=True, top_k=2, embed=nearest.hashed_embedding()).collect()}
     assert "dense" in rows["S1-1", "S2-1"]["blocker_provenance"] and rows["S1-1", "S2-1"]["ranks"]["dense"] == 1
     assert rows["S1-2", "S2-2"]["ranks"]["tfidf"] == 1 and sum("dense" in r["blocker_provenance"] for r in rows.values()) == 8
+
+
+def test_codes_stand_in_for_the_country(sources):
+    s1, t = sources
+    pairs_ = blocking.six_rules(s1, t)
+    coded = lambda df: df.withColumn("country_norm", F.lit("straße")).withColumn("country_code", F.when(F.col("country") == "US", "us"))
+    plain = {tuple(r[:2]): tuple(r[2:]) for r in features.enrich(pairs_, s1, t).select(*PAIR, *[features.country_features()[c] for c in features.COUNTRY[:3]]).collect()}
+    own = {tuple(r[:2]): tuple(r[2:]) for r in features.enrich(pairs_, coded(s1), coded(t).withColumn("country_norm", F.lit("STRASSE"))).select(*PAIR, *[features.country_features()[c] for c in features.COUNTRY[:3]]).collect()}
+    assert all(v[0] == v[1] == v[2] for v in plain.values())
+    assert all(v[1] == 1 for v in own.values()) and own["S1-1", "S2-1"] == (1, 1, 0) and own["S1-1", "S3-1"] == (1, 1, 1)
+
+
+def test_splits_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([(f"S1-{i:03d}", i % 3) for i in range(300)], f"{PAIR[0]} string, n int").repartition(5)
+    for part in pairs.split_groups(df, (0.5, 0.5)):
+        assert "Python" not in part._jdf.queryExecution().executedPlan().toString()
+    numbered = pairs.batches(df, 7, PAIR[0]).collect()
+    assert {r[0]: r["batch"] for r in numbered} == {f"S1-{i:03d}": i // 7 for i in range(300)}
+    assert pairs.next_batch(pairs.batches(df, 7, PAIR[0])).first()[0] == 43
+    assert pairs.next_batch(pairs.batches(df.limit(0), 7, PAIR[0])).first()[0] == 0
+
+
+def test_entities_without_candidates_count_in_the_search(spark):
+    truth = spark.createDataFrame([("S1-1", ["S2-1"]), ("S1-2", ["S2-2"]), ("S1-3", [])], f"{PAIR[0]} string, matched array<string>")
+    scored = spark.createDataFrame([("S1-1", "S2-1", 0.7), ("S1-3", "S2-9", 0.4)], f"{PAIR[0]} string, {PAIR[1]} string, score double")
+    got = flows.judge(truth, truth, scored, "score")
+    assert (got.threshold, round(got.tune_f05, 9), round(got.held_out_f05, 9)) == (0.41, round(2 / 3, 9), round(2 / 3, 9))
+    without = flows.judge(truth.where("source1_entity_id <> 'S1-2'"), truth, scored, "score")
+    assert without.tune_f05 == 1.0 and round(without.held_out_f05, 9) == round(2 / 3, 9)
+
+
+def test_training_splits_entities_of_the_truth(spark):
+    records = lambda tag: [(f"{tag}-{i:03d}", f"name{i} alpha{i % 7} beta{i % 5}", f"{i} road{i % 9} rd", "us") for i in range(60)]
+    s1, s2, s3 = (normalize.normalize(spark.createDataFrame(records(tag), RAW)) for tag in ("S1", "S2", "S3"))
+    t = normalize.targets(s2, s3.limit(0))
+    truth = spark.createDataFrame([(f"S1-{i:03d}", [f"S2-{i:03d}"]) for i in range(60)] + [(f"S1-9{i:02d}", [f"S2-9{i:02d}"]) for i in range(20)], f"{PAIR[0]} string, matched array<string>")
+    got = flows.train_flow(blocking.six_rules(s1, t), s1, t, truth, maxIter=3, maxDepth=2)
+    parts = [{r[0] for r in part.collect()} for part in flows.three_truths(truth)]
+    assert [len(p) for p in parts] == [56, 12, 12] and not parts[0] & parts[1] and not parts[1] & parts[2]
+    known = [sum(not e.startswith("S1-9") for e in p) / len(p) for p in parts]
+    assert got.macro_f05 == pytest.approx(known[1], abs=0.01) and got.held_out_f05 <= known[2] + 1e-9
+    assert got.training.valid_rows > 0 and 0 <= got.training.valid_logloss < 1
+
+
+@pytest.mark.parametrize("top_k,seed", [(1, 1), (3, 1), (5, 20), (40, 2)])
+def test_tfidf_bounds_lose_no_neighbour(spark, top_k, seed):
+    import random
+
+    rng = random.Random(top_k)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 5))) for _ in range(40)]
+    row = lambda i: (i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))))
+    s1 = spark.createDataFrame([row(f"S1-{i}") for i in range(30)] + [("S1-none", ""), ("S1-far", "zzzz")], "entity_id string, name_norm string")
+    t = spark.createDataFrame([row(f"S2-{i}") for i in range(80)], f"{PAIR[1]} string, name_norm string")
+    asked, held = nearest._vectors(s1, t, ("name_norm",), (2, 4))
+    whole = {(r[0], r[1]): r[2] for r in nearest._similar(asked, held, "similarity").collect()}
+    got = {(r[0], r[1]): r[2] for r in nearest.tfidf_similarities(asked, held, top_k, seed).collect()}
+    assert all(whole[p] == pytest.approx(v, abs=1e-12) for p, v in got.items())
+    for e in {p[0] for p in whole}:
+        best = sorted((-v for p, v in whole.items() if p[0] == e))[:top_k]
+        assert sorted(-v for p, v in got.items() if p[0] == e)[:top_k] == pytest.approx(best, abs=1e-9)
+    assert len(got) < len(whole) or top_k == 40
+
+
+def test_index_of_dense_vectors(spark):
+    import random
+
+    rng = random.Random(2)
+    centres = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(9)]
+    near = lambda c: [x + rng.gauss(0, 0.2) for x in centres[c]]
+    s1 = spark.createDataFrame([(f"S1-{i}", near(i % 9)) for i in range(40)] + [("S1-x", None)], "entity_id string, embedding array<double>")
+    t = spark.createDataFrame([(f"S2-{i:03d}", "S2", near(0 if i % 3 == 0 else i % 9)) for i in range(300)], f"{PAIR[1]} string, candidate_source string, embedding array<double>")
+    exact = nearest.dense_blocker(s1, t, 4)
+    found = nearest.dense_blocker(s1, t, 4, block_rows=16, lists=9)
+    assert found.count() == exact.count() == 160 and nearest.recall_at(found, exact) >= 0.9
+
+
+def test_selective_report_skips_what_is_too_large(spark, sources, truth):
+    s1, t = sources
+    out = flows.selective_report(s1, t, truth, blocking.three_rules(s1, t))
+    assert out.count() == 5 and out.where("link_recall is null").isEmpty()
+    with pytest.raises(LinkageError):
+        flows.selective_report(s1, t, truth, blocking.three_rules(s1, t), max_candidates=-1)
