@@ -187,6 +187,10 @@ def score_documents(docs: DataFrame, models: Models) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
+#: Decimals of the query's losses: what lies beyond depends on the order of floating-point sums.
+DIGITS = 9
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return lm_corpus.score_corpus(docs, table(spark, sf_dir, "labels"))
+    scored = lm_corpus.score_corpus(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_tokens", *[F.round(c, DIGITS).alias(c) for c in ("target_loss", "background_loss", "score")])

@@ -15,7 +15,8 @@ from .packing import op3_best_fit_packing
 from .quality import op1_quality_classifier
 from .rules import op9_quality_rules
 from .secrets import op8_secret_scans
-from .sql import SQL
+from .sql import SQL as PLAIN_SQL
+from .sql import lm_scores
 from .wavelet import op5_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,4 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
+SQL: dict[str, str] = PLAIN_SQL | {"op4_lm_scoring": lm_scores()}
+
 __all__ = ["QUERIES", "SQL"]

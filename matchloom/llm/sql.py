@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .lm_corpus import DISCOUNT
+from .lm_score import DIGITS
 from .mixing import MAX_REPEATS, SEED
 from .rules import LEAST_KEPT, MIN_DOCS, SHARE
 from .secrets import ACCESS, ASSIGN, CANDIDATE, ENCODINGS, FDR, HEX, SHORTEST_VALUE, UNIFORM_LEVEL
@@ -97,4 +99,28 @@ FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
 """
 
 
+def lm_scores() -> str:
+    """Bigram models of all words and bigrams, of all documents and of the target's, and each document's mean losses."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+    def loss(target: str) -> str:
+        own = f"(w.n{target} + 1.0) / (tokens{target} + words)"
+        total = f"greatest(v.n{target}, 1)"
+        rest = f"1 - (v.before{target} - {DISCOUNT} * v.types{target}) / {total}"
+        return f"-ln(CASE WHEN t.v IS NULL THEN {own} ELSE {own} * ({rest}) + greatest(p.n{target} - {DISCOUNT}, 0) / {total} END)"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0), false) AS good, regexp_extract_all(translate(coalesce(text, ''), {letters}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+tokens AS (SELECT r, good, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT r, good, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+pairs AS (SELECT v, w, count(*) AS n, count(*) FILTER (good) AS n_t FROM tokens WHERE v IS NOT NULL GROUP BY v, w),
+follow AS (SELECT v, sum(n) AS before, sum(n_t) AS before_t, count(*) AS types, count(*) FILTER (n_t > 0) AS types_t FROM pairs GROUP BY v),
+vocabulary AS (SELECT c.w, n, n_t, coalesce(before, 0) AS before, coalesce(before_t, 0) AS before_t, coalesce(types, 0) AS types, coalesce(types_t, 0) AS types_t
+  FROM (SELECT w, count(*) AS n, count(*) FILTER (good) AS n_t FROM tokens GROUP BY w) c LEFT JOIN follow ON follow.v = c.w),
+sums AS (SELECT count(*) AS words, sum(n) AS tokens, sum(n_t) AS tokens_t FROM vocabulary),
+losses AS (SELECT r, count(*) AS n_tokens, sum({loss("")}) / count(*) AS background_loss, sum({loss("_t")}) / count(*) AS target_loss
+  FROM tokens t JOIN vocabulary w ON w.w = t.w LEFT JOIN vocabulary v ON v.w = t.v LEFT JOIN pairs p ON p.v = t.v AND p.w = t.w CROSS JOIN sums GROUP BY r)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(target_loss, {DIGITS}) AS target_loss, round(background_loss, {DIGITS}) AS background_loss, round(target_loss - background_loss, {DIGITS}) AS score FROM d LEFT JOIN losses USING (r)
+"""
+
+
 SQL = {"op8_secret_scans": secrets(), "op9_quality_rules": RULES, "op10_mixing": mixing()}
