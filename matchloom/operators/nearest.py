@@ -10,8 +10,8 @@ for; `recall_at` measures what that misses.
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -121,13 +121,13 @@ DENSE_FIELDS, DENSE_SEPARATOR = ("name_norm", "address_norm", "country"), " | "
 
 
 def hashed_embedding(dimensions: int = 256, low: int = 2, high: int = 4) -> Callable[[Column], Column]:
-    """An embedding that needs no model: signed hashes of character n-grams. Any function from text to vectors can stand in."""
+    """An embedding that needs no model: signed hashes (32 bits of md5) of character n-grams. Any function from text to vectors can stand in."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         known: dict[str, int] = {}  # a gram's hash, computed once a batch
         padded = [f" {t or ''} ".lower() for t in texts]
-        lists = [[known[g] if g in known else known.setdefault(g, zlib.crc32(g.encode())) for n in range(low, high + 1) for g in (t[i : i + n] for i in range(len(t) - n + 1))] for t in padded]
+        lists = [[known[g] if g in known else known.setdefault(g, int(hashlib.md5(g.encode()).hexdigest()[:8], 16)) for n in range(low, high + 1) for g in (t[i : i + n] for i in range(len(t) - n + 1))] for t in padded]
         hashes = np.fromiter((h for found in lists for h in found), np.int64)
         rows = np.repeat(np.arange(len(lists)), [len(found) for found in lists])
         sums = np.bincount(rows * dimensions + hashes % dimensions, weights=np.where(hashes >> 31, 1.0, -1.0), minlength=len(lists) * dimensions)

