@@ -67,7 +67,11 @@ def recall_report(cut: DataFrame, truth: DataFrame, entities: DataFrame, ks: lis
     n = cut.groupBy("k", PAIR[0]).agg(F.count(F.lit(1)).alias("n"))
     t = truth.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_true"))
     hit = cut.select("k", *PAIR).join(truth, list(PAIR)).groupBy("k", PAIR[0]).agg(F.count(F.lit(1)).alias("n_found"))
-    rows = grid.join(n, ["k", PAIR[0]], "left").join(t, PAIR[0], "left").join(hit, ["k", PAIR[0]], "left").na.fill(0)
+    return summary(grid.join(n, ["k", PAIR[0]], "left").join(t, PAIR[0], "left").join(hit, ["k", PAIR[0]], "left").na.fill(0))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """The report of each k over rows (k, n, n_true, n_found), one for every entity."""
     complete = F.avg(F.when(F.col("n_true") > 0, (F.col("n_found") == F.col("n_true")).cast("double")))
     return rows.groupBy("k").agg(F.sum("n").alias("n_pairs"), (F.sum("n_found") / F.sum("n_true")).alias("link_recall"), complete.alias("complete_recall"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.95)).alias("p95"), F.sum((F.col("n") == 0).cast("long")).alias("zeros"))
 

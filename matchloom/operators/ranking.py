@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..schema import PAIR
-from .evaluation import recall_report
+from .evaluation import summary
 from .features import enrich
 
 #: Weights of the two feature scores.
@@ -62,7 +62,14 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def sweep(scored: DataFrame, truth_pairs: DataFrame, entities: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """For each k: candidates, recalls and counts per entity. Pairs are ranked once and cut at the largest k."""
-    ranked = top_k(scored, max(ks))
-    cut = ranked.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))))
-    return recall_report(cut, truth_pairs, entities, [F.lit(k) for k in ks])
+    """For each k: candidates, recalls and counts per entity.
+
+    Pairs are ranked once, cut at the largest k and aggregated once; an entity's figures for every k follow from its row.
+    """
+    ranked = top_k(scored, max(ks)).select(*PAIR, "rank").join(truth_pairs.withColumn("hit", F.lit(1)), list(PAIR), "left")
+    hits = [F.count(F.when(F.col("rank") <= k, F.col("hit"))).alias(f"hits_{k}") for k in ks]
+    per_entity = ranked.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n"), *hits)
+    true = truth_pairs.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_true"))
+    whole = entities.select(F.col("entity_id").alias(PAIR[0])).distinct().join(per_entity, PAIR[0], "left").join(true, PAIR[0], "left").na.fill(0)
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.least("n", F.lit(k).cast("long")).alias("n"), F.col(f"hits_{k}").alias("n_found")) for k in ks])
+    return summary(whole.select("n_true", F.explode(each).alias("x")).select("n_true", "x.*"))
