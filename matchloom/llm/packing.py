@@ -3,9 +3,11 @@
 Only the histogram of piece lengths (at most `capacity` counts) reaches the driver. There a covering program over
 configurations (multisets of lengths that fit one sequence) is solved by multiplicative weights: every length has a
 price, a knapsack dynamic program finds the configuration of the highest total price, some copies of it are taken, and
-the prices of what it covers fall. Fractions are rounded down; what stays open goes through the program again, and the
-last few pieces are packed best-fit decreasing. The result is a list of runs: the pieces of one length with ranks
-[lo, hi) go to consecutive sequences at one offset. Each piece then finds its run by a binary search, in parallel.
+the prices of what it covers fall. Fractions are rounded down, and what stays open is closed by decreasing lengths, the
+longest that fits first. The prices also give a lower bound (the dual of the program) on the sequences that any packing
+needs; as long as the packing exceeds it by more than `GAP`, what stayed open goes through the program again, and the
+best closing counts. The result is a list of runs: the pieces of one length with ranks [lo, hi) go to consecutive
+sequences at one offset. Each piece then finds its run by a binary search, in parallel.
 
 Cases: a null or empty text is one piece that holds the end id; repeated rows and equal doc_ids are packed one by one;
 null doc_ids stay null; an empty table gives no rows; a very long text is cut into pieces as it is encoded, whole; other
@@ -28,18 +30,19 @@ from .common import documents, materialize, slices
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
-#: Pricing steps of one pass over the program; passes follow until few pieces are open.
+#: Pricing steps of one pass over the program.
 STEPS = 160
-#: Open pieces that best-fit decreasing packs one by one.
-LAST_PIECES = 4_000
+#: Share of the lower bound by which a packing may exceed it.
+GAP = 0.0005
 
 Configuration = tuple[tuple[int, int], ...]
 
 
-def price(values: np.ndarray, available: np.ndarray, capacity: int) -> Configuration:
-    """The configuration of highest value by a knapsack dynamic program over all capacities.
+def price(values: np.ndarray, available: np.ndarray, capacity: int) -> tuple[Configuration, float]:
+    """The configuration of highest value by a knapsack dynamic program over all capacities, and that value.
 
-    `values[l]` is the price of length l. Copies beyond `available` are dropped from the found configuration, and what they held is refilled greedily.
+    `values[l]` is the price of length l. Copies beyond `available` are dropped from the found configuration, and what
+    they held is refilled greedily; the value is that of the configuration as found.
     """
     sizes = np.flatnonzero(available[: capacity + 1] > 0)
     best = np.zeros(capacity + 1)
@@ -70,10 +73,31 @@ def price(values: np.ndarray, available: np.ndarray, capacity: int) -> Configura
             break
         taken[fits[0]] = taken.get(fits[0], 0) + 1
         room -= fits[0]
-    return tuple(sorted(taken.items()))
+    return tuple(sorted(taken.items())), float(best[capacity])
+
+
+def close(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
+    """All open pieces by decreasing lengths: the longest, then again and again the longest that fits, as often as it can be repeated."""
+    left, out = left.copy(), []
+    sizes = np.flatnonzero(left).tolist()
+    while sizes:
+        content: dict[int, int] = {}
+        room, upto = capacity, len(sizes)
+        while upto:
+            length = sizes[upto - 1]
+            if length <= room and (copies := min(room // length, int(left[length]))):
+                content[length] = copies
+                room -= copies * length
+            upto = bisect.bisect_right(sizes, min(room, length - 1))
+        n = min(int(left[length]) // copies for length, copies in content.items())
+        out.append((tuple(sorted(content.items())), n))
+        for length, copies in content.items():
+            left[length] -= copies * n
+        sizes = [length for length in sizes if left[length]] if any(not left[length] for length in content) else sizes
+    return out
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS, last: int = LAST_PIECES) -> list[tuple[Configuration, int]]:
+def solve(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS, gap: float = GAP) -> list[tuple[Configuration, int]]:
     """Configurations and how many sequences use each; together they hold every piece exactly once."""
     left = counts.astype(np.int64).copy()
     packed: dict[Configuration, int] = {}
@@ -83,16 +107,17 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS, last
         for length, copies in config:
             left[length] -= copies * n
 
+    bound = float(counts @ np.arange(capacity + 1)) / capacity
     if left[capacity]:  # full pieces fill a sequence each
         take(((capacity, 1),), int(left[capacity]))
-    passes = 0
-    while left.sum() > last or not passes and left.any():
-        passes += 1
+    best: tuple[float, dict[Configuration, int], list[tuple[Configuration, int]]] = (np.inf, dict(packed), [])
+    while left.any():
         open_before = left.sum()
         prices = np.arange(capacity + 1) / capacity
         fraction: dict[Configuration, float] = {}
         for _ in range(min(steps, int(open_before))):
-            config = price(prices, left, capacity)
+            config, value = price(prices, left, capacity)
+            bound = max(bound, float(counts[left > 0] @ prices[left > 0]) / value)
             share = 0.5 * min(left[length] / copies for length, copies in config)
             fraction[config] = fraction.get(config, 0.0) + share
             for length, copies in config:
@@ -101,24 +126,15 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS, last
             n = min(int(x), *(int(left[length]) // copies for length, copies in config))
             if n > 0:
                 take(config, n)
-        if left.sum() == open_before:  # less than one sequence of any configuration: the rest goes one by one
-            break
-    spaces: list[tuple[int, int]] = []  # (space left, sequence), sorted
-    contents: list[dict[int, int]] = []
-    for length in np.flatnonzero(left)[::-1].tolist():
-        for _ in range(int(left[length])):
-            at = bisect.bisect_left(spaces, (length, -1))
-            if at < len(spaces):
-                space, which = spaces.pop(at)
-            else:
-                space, which = capacity, len(contents)
-                contents.append({})
-            contents[which][length] = contents[which].get(length, 0) + 1
-            if space > length:
-                bisect.insort(spaces, (space - length, which))
-    for content in contents:
-        config = tuple(sorted(content.items()))
-        packed[config] = packed.get(config, 0) + 1
+        closing = close(left, capacity)
+        total = sum(packed.values()) + sum(n for _, n in closing)
+        if total < best[0]:
+            best = (total, dict(packed), closing)
+        if best[0] <= max(bound * (1 + gap), np.ceil(bound - 1e-6)) or left.sum() == open_before:
+            break  # near the bound, or less than one sequence of any configuration is left
+    packed = best[1]
+    for config, n in best[2]:
+        packed[config] = packed.get(config, 0) + n
     return sorted(packed.items())
 
 

@@ -100,6 +100,28 @@ def test_program_is_near_the_bound():
         assert sum(times for _, times in solution) <= -(-int(lengths.sum()) // 2048) * 1.01 + 1
 
 
+@pytest.mark.parametrize("n", [3_000, 300_000])
+def test_packing_comes_within_the_gap_of_the_bound(n):
+    """Text-like lengths: no packing needs fewer sequences than the tokens fill, and the program exceeds that by GAP at most."""
+    lengths = np.clip(np.random.default_rng(8).lognormal(6, 1, n).astype(int) + 1, 1, 2048)
+    used = sum(times for _, times in packing.solve(np.bincount(lengths, minlength=2049)))
+    least = -(-int(lengths.sum()) // 2048)
+    assert least <= used <= least * (1 + packing.GAP) + 1
+
+
+def test_closing_holds_every_piece():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 400):
+        left = np.bincount(rng.integers(1, 65, n), minlength=65)
+        held = np.zeros(65, dtype=int)
+        for config, times in packing.close(left, 64):
+            assert times > 0 and sum(a * b for a, b in config) <= 64
+            for length, copies in config:
+                held[length] += copies * times
+        assert (held == left).all()
+    assert packing.close(np.zeros(65, dtype=int), 64) == []
+
+
 def test_small_instances_are_optimal():
     def fewest(lengths, capacity):
         best = len(lengths)
