@@ -9,6 +9,9 @@ collected; the driver has the hot words and three sums.
 
 Bigrams and words are asked for one after the other, and each answer is a written table, so the questions of only one of
 them are on disk at a time.
+
+Held-out losses are those under models that lack the document's own counts: its words and bigrams are taken off all counts
+of the background model, and off those of the target model if it is a target document. The vocabulary stays as it is.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ MOST_ROWS = 1 << 16
 STORE, WORDS, PAIRS, TYPES, SUMS, WORD_ANSWERS, PAIR_ANSWERS = range(7)
 PART = "kind int, bucket long, chunk long, data binary"
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+HELD_OUT = "held_out_target_loss double, held_out_background_loss double"
+#: Tokens whose documents' own counts are in memory at once.
+OWN = 1 << 17
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -258,8 +264,47 @@ def count_words(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, PART)
 
 
-def score_chunks(parts: DataFrame, hot: np.ndarray, buckets: int, sums: tuple[int, int, int]) -> DataFrame:
+def held_out_losses(c: Chunk, counts: np.ndarray, pairs: np.ndarray, sums: tuple[int, int, int]) -> list[np.ndarray]:
+    """Summed losses of each document under background and target, without its own counts; documents go in slices."""
+    size, kinds = max(1, len(c.hashes)), max(1, len(c.pairs))
+    out = [np.zeros(len(c.lengths)) for _ in range(2)]
+    ends = np.cumsum(c.lengths)
+    is_target = np.zeros(len(c.lengths), bool)
+    is_target[c.doc[c.target]] = True
+    a = 0
+    while a < len(c.lengths):
+        start = ends[a] - c.lengths[a]
+        b = max(a + 1, int(np.searchsorted(ends, start + OWN, side="right")))
+        stop = ends[b - 1]
+        doc, stream = c.doc[start:stop] - a, c.stream[start:stop]
+        words, word = np.unique(doc * size + stream, return_inverse=True)
+        n_word = np.bincount(word, minlength=len(words))
+        low, high = np.searchsorted(c.later, (start, stop))
+        later = c.later[low:high] - start
+        bigrams, first, bigram = np.unique(doc[later] * kinds + c.inverse[low:high], return_index=True, return_inverse=True)
+        n_bigram = np.bincount(bigram, minlength=len(bigrams))
+        previous = word[later - 1]
+        n_before = np.bincount(previous, minlength=len(words))
+        for m in range(2):
+            mine = np.ones(b - a) if m == 0 else is_target[a:b].astype(float)
+            all_of = counts[m][words % size] - mine[words // size] * n_word
+            together = pairs[m][bigrams % kinds] - mine[bigrams // kinds] * n_bigram
+            alone = mine[bigrams // kinds] * (together == 0)  # words that follow in this document only
+            alone = np.bincount(previous[first], weights=alone, minlength=len(words))
+            discounted = counts[2 + m][words % size] - 2 * mine[words // size] * n_before + alone
+            total = np.maximum(all_of, 1)
+            tokens = sums[1 + m] - mine * c.lengths[a:b]
+            own = (all_of + 1) / (tokens[words // size] + sums[0])
+            p = own[word]
+            p[later] = p[later] * (1 - DISCOUNT * discounted / total)[previous] + np.maximum(together - DISCOUNT, 0)[bigram] / total[previous]
+            out[m][a:b] = np.bincount(doc, weights=-np.log(p), minlength=b - a)
+        a = b
+    return out
+
+
+def score_chunks(parts: DataFrame, hot: np.ndarray, buckets: int, sums: tuple[int, int, int], held_out: bool = False) -> DataFrame:
     """The scores of the documents of each chunk, from its STORE row and all its answers."""
+    schema = f"{SCORES}, {HELD_OUT}" if held_out else SCORES
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket")
@@ -279,10 +324,14 @@ def score_chunks(parts: DataFrame, hot: np.ndarray, buckets: int, sums: tuple[in
             loss[c.later] = -np.log(p)[c.inverse]
             losses.append(np.bincount(c.doc, weights=loss, minlength=len(c.lengths)) / np.maximum(c.lengths, 1))
         background, target = losses
-        columns = [pa.array(x, pa.float64(), mask=c.lengths == 0) for x in (target, background, target - background)]
-        return pa.Table.from_arrays([pa.array(whole["ids"], pa.int64()), pa.array(c.lengths), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        columns = [target, background, target - background]
+        if held_out:
+            background, target = (x / np.maximum(c.lengths, 1) for x in held_out_losses(c, counts, pairs, sums))
+            columns = [*columns[:2], target - background, target, background]
+        arrays = [pa.array(x, pa.float64(), mask=c.lengths == 0) for x in columns]
+        return pa.Table.from_arrays([pa.array(whole["ids"], pa.int64()), pa.array(c.lengths), *arrays], names=[x.split()[0] for x in schema.split(", ")])
 
-    return parts.groupBy("chunk").applyInArrow(run, SCORES)
+    return parts.groupBy("chunk").applyInArrow(run, schema)
 
 
 def _marked(docs: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
@@ -297,8 +346,11 @@ def _marked(docs: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
     return marked
 
 
-def score_corpus(docs: DataFrame, labels: DataFrame, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score for each row, under the models of all rows."""
+def score_corpus(docs: DataFrame, labels: DataFrame, chunk: int = CHUNK, bucket: int = BUCKET, held_out: bool = False) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score for each row, under the models of all rows.
+
+    With `held_out` both losses are also given under models without the row's own counts, and `score` is their difference.
+    """
     store = _marked(docs, labels, chunk)
     all_of = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     target_of = F.aggregate(F.coalesce("targets", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, p: a + F.get("lengths", p))
@@ -312,4 +364,4 @@ def score_corpus(docs: DataFrame, labels: DataFrame, chunk: int = CHUNK, bucket:
     distinct = words.where(F.col("kind") == SUMS).agg(F.sum("chunk")).first()[0] or 0
     answers = pairs.where(F.col("kind") == PAIR_ANSWERS).unionByName(words.where(F.col("kind") == WORD_ANSWERS))
     stored = store.select(F.lit(STORE).alias("kind"), F.lit(-1).cast("long").alias("bucket"), "chunk", "ids", "lengths", "hashes", "stream", "targets")
-    return score_chunks(stored.unionByName(answers, allowMissingColumns=True), hot, buckets, (distinct, tokens, target))
+    return score_chunks(stored.unionByName(answers, allowMissingColumns=True), hot, buckets, (distinct, tokens, target), held_out)

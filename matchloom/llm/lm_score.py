@@ -1,7 +1,8 @@
 r"""Operator 4, language-model scores: the cross-entropy difference of two matched bigram models.
 
-The query scores by models of all words and all bigrams (`lm_corpus.py`). The models of this module have a bounded size
-instead, so that they can be broadcast; the query does not use them.
+The query scores by models of all words and all bigrams (`lm_corpus.py`), and each document by what they are without its
+own counts. The models of this module have a bounded size instead, so that they can be broadcast; the query does not use
+them.
 
 Tokens are words `[^\x20\x09-\x0D]+` with A-Z in lower case. The models share one vocabulary, the words that all documents
 have `RARE` times or more, from the most frequent ones down to the last count at which no more than `VOCABULARY` have that
@@ -192,5 +193,6 @@ DIGITS = 9
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_corpus.score_corpus(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "n_tokens", *[F.round(c, DIGITS).alias(c) for c in ("target_loss", "background_loss", "score")])
+    """Losses under the models of all rows, and `score` by the held-out losses, under models that lack the row's own counts."""
+    scored = lm_corpus.score_corpus(documents(spark, sf_dir), table(spark, sf_dir, "labels"), held_out=True)
+    return scored.select("doc_id", "n_tokens", *[F.round(c, DIGITS).alias(c) for c in scored.columns[2:]])

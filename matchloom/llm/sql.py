@@ -100,26 +100,33 @@ FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
 
 
 def lm_scores() -> str:
-    """Bigram models of all words and bigrams, of all documents and of the target's, and each document's mean losses."""
+    """Bigram models of all words and bigrams, of all documents and of the target's, and each document's mean losses, also without its own counts."""
     letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
-    def loss(target: str) -> str:
-        own = f"(w.n{target} + 1.0) / (tokens{target} + words)"
-        total = f"greatest(v.n{target}, 1)"
-        rest = f"1 - (v.before{target} - {DISCOUNT} * v.types{target}) / {total}"
-        return f"-ln(CASE WHEN t.v IS NULL THEN {own} ELSE {own} * ({rest}) + greatest(p.n{target} - {DISCOUNT}, 0) / {total} END)"
+    def loss(target: str, mine: str) -> str:
+        """Of a token; `mine` is 1 where the counts of its document are left out."""
+        own = f"(w.n{target} - {mine} * dw.c + 1.0) / (tokens{target} - {mine} * size + words)"
+        total = f"greatest(v.n{target} - {mine} * dv.c, 1)"
+        rest = f"1 - (v.before{target} - {mine} * dv.before - {DISCOUNT} * (v.types{target} - {mine} * dv.alone{target})) / {total}"
+        return f"-ln(CASE WHEN t.v IS NULL THEN {own} ELSE {own} * ({rest}) + greatest(p.n{target} - {mine} * dp.c - {DISCOUNT}, 0) / {total} END)"
 
+    mine = "CASE WHEN t.good THEN 1 ELSE 0 END"
+    sums = {"background_loss": loss("", "0"), "target_loss": loss("_t", "0"), "held_out_background_loss": loss("", "1"), "held_out_target_loss": loss("_t", mine)}
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0), false) AS good, regexp_extract_all(translate(coalesce(text, ''), {letters}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-tokens AS (SELECT r, good, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT r, good, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
-pairs AS (SELECT v, w, count(*) AS n, count(*) FILTER (good) AS n_t FROM tokens WHERE v IS NOT NULL GROUP BY v, w),
+tokens AS (SELECT r, good, size, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT r, good, ws, len(ws) AS size, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+own_pairs AS (SELECT r, good, v, w, count(*) AS c FROM tokens WHERE v IS NOT NULL GROUP BY r, good, v, w),
+pairs AS (SELECT v, w, sum(c) AS n, coalesce(sum(c) FILTER (good), 0) AS n_t FROM own_pairs GROUP BY v, w),
 follow AS (SELECT v, sum(n) AS before, sum(n_t) AS before_t, count(*) AS types, count(*) FILTER (n_t > 0) AS types_t FROM pairs GROUP BY v),
+own_follow AS (SELECT r, v, sum(c) AS before, count(*) FILTER (c = n) AS alone, count(*) FILTER (c = n_t AND good) AS alone_t FROM own_pairs JOIN pairs USING (v, w) GROUP BY r, v),
+own_words AS (SELECT t.r, t.w, c, coalesce(before, 0) AS before, coalesce(alone, 0) AS alone, coalesce(alone_t, 0) AS alone_t FROM (SELECT r, w, count(*) AS c FROM tokens GROUP BY r, w) t LEFT JOIN own_follow f ON f.r = t.r AND f.v = t.w),
 vocabulary AS (SELECT c.w, n, n_t, coalesce(before, 0) AS before, coalesce(before_t, 0) AS before_t, coalesce(types, 0) AS types, coalesce(types_t, 0) AS types_t
   FROM (SELECT w, count(*) AS n, count(*) FILTER (good) AS n_t FROM tokens GROUP BY w) c LEFT JOIN follow ON follow.v = c.w),
 sums AS (SELECT count(*) AS words, sum(n) AS tokens, sum(n_t) AS tokens_t FROM vocabulary),
-losses AS (SELECT r, count(*) AS n_tokens, sum({loss("")}) / count(*) AS background_loss, sum({loss("_t")}) / count(*) AS target_loss
-  FROM tokens t JOIN vocabulary w ON w.w = t.w LEFT JOIN vocabulary v ON v.w = t.v LEFT JOIN pairs p ON p.v = t.v AND p.w = t.w CROSS JOIN sums GROUP BY r)
-SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(target_loss, {DIGITS}) AS target_loss, round(background_loss, {DIGITS}) AS background_loss, round(target_loss - background_loss, {DIGITS}) AS score FROM d LEFT JOIN losses USING (r)
+losses AS (SELECT t.r, count(*) AS n_tokens, {", ".join(f"sum({x}) / count(*) AS {name}" for name, x in sums.items())}
+  FROM tokens t JOIN vocabulary w ON w.w = t.w JOIN own_words dw ON dw.r = t.r AND dw.w = t.w LEFT JOIN vocabulary v ON v.w = t.v LEFT JOIN own_words dv ON dv.r = t.r AND dv.w = t.v
+  LEFT JOIN pairs p ON p.v = t.v AND p.w = t.w LEFT JOIN own_pairs dp ON dp.r = t.r AND dp.v = t.v AND dp.w = t.w CROSS JOIN sums GROUP BY t.r)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, {", ".join(f"round({name}, {DIGITS}) AS {name}" for name in sums)}, round(held_out_target_loss - held_out_background_loss, {DIGITS}) AS score FROM d LEFT JOIN losses USING (r)
 """
 
 
