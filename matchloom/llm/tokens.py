@@ -2,7 +2,8 @@
 
 The vocabulary's normalizer and pre-tokenizer treat white space as a separator and never join what stands on
 either side of it, so the ids of a text are those of its blank-separated words put together. Words repeat far
-more than texts do: the library encodes each distinct word once per worker and the ids are reused as bytes.
+more than texts do: Arrow finds the distinct words of some texts, the library encodes each of them once per worker, and
+numpy puts the ids of all words together.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Words kept per Python worker; the ones first met stay. About 250 bytes each.
@@ -20,15 +23,6 @@ CHUNK_CHARS = 5_000_000
 _LOADED: dict[str, WordEncoder] = {}
 
 
-class _Known(dict[str, bytes]):
-    """The words that stay, and behind them those of the texts at hand."""
-
-    rest: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.rest[word]
-
-
 #: Marks that compose with Latin letters; some of them with one case of a letter only.
 _MARKS = re.compile("[\u0300-\u036f]")
 #: Latin words that the normalizer leaves as they are.
@@ -56,7 +50,7 @@ class WordEncoder:
         self.ascii.normalizer = normalizers.Sequence([])
         self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.cache_words = cache_words
-        self.known = _Known({"": b""})
+        self.known: dict[str, bytes] = {"": b""}
         self.marker = "<|endoftext|>"
         self.marker_id = self.tokenizer.token_to_id(self.marker)
         vocabulary = self.tokenizer.get_vocab()
@@ -113,27 +107,40 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
         out: list[bytes] = []
-        part: list[list[str]] = []
+        part: list[str] = []
         chars = 0
         for text in texts:  # the words of so many characters are in memory at once
-            flat = _plain_case(text or "").replace("\n", " ")
-            part.append(flat.split(" "))
-            chars += len(flat)
+            part.append(_plain_case(text or "").replace("\n", " "))
+            chars += len(part[-1])
             if chars >= CHUNK_CHARS:
                 out += self._encode_words(part)
                 part, chars = [], 0
-        return out + self._encode_words(part)
-
-    def _encode_words(self, split: list[list[str]]) -> list[bytes]:
+        return out + self._encode_words(part) if part else out
+
+    def _encode_words(self, flat: list[str]) -> list[bytes]:
+        split = pc.split_pattern(pa.array(flat, pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        ids = self._ids_of(unique)
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        begin = np.cumsum(count) - count
+        word = coded.indices.to_numpy()
+        ends = np.cumsum(count[word])
+        raw = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[word] - (ends - count[word]), count[word]) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        borders = (4 * np.append(0, ends)[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(borders, borders[1:], strict=False)]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; the words first met stay, up to `cache_words`."""
         known = self.known
-        unknown = list(set().union(*split).difference(known))
-        room = max(0, self.cache_words - len(known))
+        found = list(map(known.get, words))
+        unknown = [word for word, ids in zip(words, found, strict=True) if ids is None]
+        if not unknown:
+            return found
+        room, rest = max(0, self.cache_words - len(known)), {}
         self._learn(unknown[:room], known)
-        known.rest = rest = {}
         self._learn(unknown[room:], rest)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        known.rest = {}
-        return out
+        return [ids if ids is not None else known[word] if word in known else rest[word] for word, ids in zip(words, found, strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
