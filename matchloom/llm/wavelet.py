@@ -5,9 +5,11 @@ highest bit of every id, in the order that a stable partition by the bits above
 rank constant in time, and select a binary search. From one compressed file a reader can get any token (`access`),
 count an id in a span (`rank`, `count`), find its occurrences (`select`, `occurrences`) and restore all ids (`tokens`).
 
-File: magic `WVM1`, then one zstd frame. In it, little-endian: eight int64 (version, tokens, documents, levels, directory block
-in bits, three zeros), doc_id int64 per document, one null flag byte per document, length uint32 per document, zeros
-int64 per level, then per level the plane (bytes, highest bit first) and its directory (uint32 ones before each block).
+File: magic `WVM2`, then, little-endian, eight int64 (version, tokens, documents, levels, directory block in bits, segment
+in bytes, size of the head, zero) and the compressed size (uint32) of each segment of each plane. The head, one zstd frame,
+has doc_id int64 per document, one null flag byte per document, length uint32 per document, zeros int64 per level, and the
+directory (uint32 ones before each block) of each level. Behind it stand the segments of the planes (highest bit first), a
+zstd frame each, so a reader that wants one token fetches one segment a level.
 
 Cases: a null text has the end id alone; a null doc_id comes first and stays null; equal doc_ids and repeated rows each
 keep their own place, in any order among themselves; an empty table gives no shard and no rows; a very long text stands
@@ -16,8 +18,9 @@ whole in one shard, which may exceed `SHARD_TOKENS` by it; other columns, whatev
 
 from __future__ import annotations
 
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, slices, stage_path
 from .tokens import default_tokenizer, encoder
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 BLOCK = 1024
+#: Bytes of a plane that are compressed together; a multiple of a directory block.
+SEGMENT = 8192
 #: Tokens after which a shard is closed; a single longer document makes a longer shard.
 SHARD_TOKENS = 1 << 20
 
@@ -142,6 +147,18 @@ class WaveletMatrix:
         return [self.select(token, k) for k in range(self.count(token))]
 
 
+class Segments:
+    """A plane whose segments are fetched when a bit or a block in them is asked for; the last ones stay."""
+
+    def __init__(self, fetch: Callable[[int], bytes]) -> None:
+        self.fetch = functools.lru_cache(4)(fetch)
+
+    def __getitem__(self, key: int | slice) -> Any:
+        first = key.start if isinstance(key, slice) else key
+        held, at = np.frombuffer(self.fetch(first // SEGMENT), np.uint8), first // SEGMENT * SEGMENT
+        return held[key.start - at : key.stop - at] if isinstance(key, slice) else held[key - at]
+
+
 class Shard:
     """What a file holds: documents with their lengths, and the matrix of their ids."""
 
@@ -151,34 +168,59 @@ class Shard:
     def to_bytes(self) -> bytes:
         import zstandard
 
-        m = self.matrix
-        parts = [np.array([1, m.n, len(self.doc_ids), m.levels, BLOCK, 0, 0, 0], "<i8"), np.array([d or 0 for d in self.doc_ids], "<i8"), np.array([d is None for d in self.doc_ids], np.uint8), np.asarray(self.lengths, "<u4"), np.array(m.zeros, "<i8")]
-        parts += [x for pair in zip(m.planes, m.ranks, strict=True) for x in pair]
-        return MAGIC + zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
+        pack, m = zstandard.ZstdCompressor(level=1).compress, self.matrix
+        parts = [np.array([d or 0 for d in self.doc_ids], "<i8"), np.array([d is None for d in self.doc_ids], np.uint8), np.asarray(self.lengths, "<u4"), np.array(m.zeros, "<i8"), *m.ranks]
+        head = pack(b"".join(x.tobytes() for x in parts))
+        frames = [pack(plane[at : at + SEGMENT].tobytes()) for plane in m.planes for at in range(0, len(plane), SEGMENT)]
+        numbers = np.array([2, m.n, len(self.doc_ids), m.levels, BLOCK, SEGMENT, len(head), 0], "<i8")
+        return b"".join([MAGIC, numbers.tobytes(), np.array([len(f) for f in frames], "<u4").tobytes(), head, *frames])
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Shard:
+    def open(cls, read: Callable[[int, int], bytes]) -> Shard:
+        """A shard over `read(start, size)` of its file: its head is read now, segments of planes when they are needed."""
         import zstandard
 
-        if data[:4] != MAGIC:
+        unpack = zstandard.ZstdDecompressor().decompress
+        if (begin := read(0, 68))[:4] != MAGIC:
             raise ValueError("not a wavelet shard")
-        raw, at = zstandard.ZstdDecompressor().decompress(data[4:]), 0
+        _, n, docs, levels, block, segment, head, _ = np.frombuffer(begin, "<i8", 8, 4).tolist()
+        per_plane = -(-(-(-n // 8)) // segment)
+        sizes = np.frombuffer(read(68, 4 * levels * per_plane), "<u4").astype(np.int64)
+        starts = 68 + 4 * len(sizes) + head + np.append(0, np.cumsum(sizes))
+        raw, at = unpack(read(68 + 4 * len(sizes), head)), 0
 
-        def take(kind: str, n: int) -> np.ndarray:
+        def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
-            got = np.frombuffer(raw, kind, n, at)
+            got = np.frombuffer(raw, kind, count, at)
             at += got.nbytes
             return got
 
-        _, n, docs, levels, block = take("<i8", 8)[:5].tolist()
-        doc_ids = take("<i8", docs).tolist()
-        nulls = take("u1", docs)
+        doc_ids, nulls = take("<i8", docs).tolist(), take("u1", docs)
         lengths, zeros = take("<u4", docs), take("<i8", levels).tolist()
-        planes, ranks = [], []
-        for _ in range(levels):
-            planes.append(take("u1", -(-n // 8)))
-            ranks.append(take("<u4", -(-n // block) + 1))
-        return cls([None if null else d for d, null in zip(doc_ids, nulls, strict=True)], lengths, WaveletMatrix(n, planes, ranks, zeros))
+        ranks = [take("<u4", -(-n // block) + 1) for _ in range(levels)]
+
+        def plane(level: int) -> Segments:
+            return Segments(lambda k: unpack(read(int(starts[level * per_plane + k]), int(sizes[level * per_plane + k]))))
+
+        shard = cls([None if null else d for d, null in zip(doc_ids, nulls, strict=True)], lengths, WaveletMatrix(n, [plane(k) for k in range(levels)], ranks, zeros))
+        shard.segments = per_plane
+        return shard
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Shard:
+        """The whole shard in memory."""
+        shard = cls.open(lambda start, size: data[start : start + size])
+        planes = [np.frombuffer(b"".join(plane.fetch(k) for k in range(shard.segments)), np.uint8) for plane in shard.matrix.planes]
+        return cls(shard.doc_ids, shard.lengths, WaveletMatrix(shard.matrix.n, planes, shard.matrix.ranks, shard.matrix.zeros))
+
+
+def open_shard(uri: str) -> Shard:
+    """The shard of a file, of which only what is asked for is read."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    file = system.open_input_file(path)
+    return Shard.open(lambda start, size: file.read_at(size, start))
 
 
 def _write(uri: str, data: bytes) -> None:

@@ -52,6 +52,31 @@ def test_wavelet_matrix_answers_like_a_list(n, high):
             m.select(values[0], n)
 
 
+@pytest.mark.parametrize("n,high", [(0, 2), (1, 9), (70_000, 3), (300_000, 40_000)])
+def test_a_token_costs_a_segment_a_level(n, high, tmp_path):
+    ids = np.random.default_rng(n).integers(0, high, n)
+    data = wavelet.Shard([7], np.array([n]), wavelet.WaveletMatrix.build(ids)).to_bytes()
+    reads = []
+
+    def read(start, size):
+        reads.append(size)
+        return data[start : start + size]
+
+    lazy = wavelet.Shard.open(read)
+    reads.clear()
+    for i in range(0, n, max(1, n // 5)):
+        assert lazy.matrix.access(i) == ids[i]
+        assert len(reads) <= 2 * lazy.matrix.levels and max(reads, default=0) <= wavelet.SEGMENT + 64
+        reads.clear()
+    if n:
+        token = int(ids[n // 2])
+        assert lazy.matrix.count(token) == int((ids == token).sum())
+        assert lazy.matrix.select(token, 0) == int(np.flatnonzero(ids == token)[0])
+        (tmp_path / "s.wvm").write_bytes(data)
+        assert wavelet.open_shard(f"file://{tmp_path}/s.wvm").matrix.access(n - 1) == ids[-1]
+    assert wavelet.Shard.from_bytes(data).matrix.tokens().tolist() == ids.tolist()
+
+
 @pytest.mark.parametrize("shard_tokens", [1, 500, 1 << 20])
 def test_shards_round_trip(spark, library, docs, rows, shard_tokens):
     manifest = wavelet.write_shards(docs, wavelet._folder(spark), tokens.default_tokenizer(), 1, shard_tokens)
