@@ -136,15 +136,18 @@ def threshold_table(truth: DataFrame, scored: DataFrame, score: str = "score", g
     if not grid:
         raise LinkageError("empty grid")
     steps = F.array(*[F.lit(t) for t in grid])
-    step = F.size(F.filter(steps, lambda t: t <= F.col("s")))
+    bits = F.array(*[F.lit(1 << i) for i in reversed(range(len(grid).bit_length()))])
+    # How many steps a score reaches, by a binary search.
+    step = F.aggregate(bits, F.lit(0), lambda at, bit: F.when(F.coalesce(F.get(steps, at + bit - 1) <= F.col("s"), F.lit(False)), at + bit).otherwise(at))
     flagged = scored.select(*PAIR, F.col(score).alias("s")).join(truth_pairs(truth).withColumn("t", F.lit(1)), list(PAIR), "left")
     counts = flagged.withColumn("step", step).groupBy(PAIR[0], "step").agg(F.count(F.lit(1)).alias("predicted"), F.count("t").alias("tp"))
     true = truth.select(PAIR[0], F.size(F.array_distinct("matched")).alias("n_true"))
     down = Window.partitionBy(PAIR[0]).orderBy(F.desc("step"))
-    reached = counts.where("step > 0").join(true, PAIR[0]).select(PAIR[0], "step", "n_true", F.sum("tp").over(down).alias("tp"), F.sum("predicted").over(down).alias("predicted"))
+    reached = counts.join(true, PAIR[0]).select(PAIR[0], "step", "n_true", F.sum("tp").over(down).alias("tp"), F.sum("predicted").over(down).alias("predicted"))
     scores = reached.select(PAIR[0], "step", "n_true", _f05(F.col("tp"), F.col("predicted"), F.col("n_true"))[2].alias("f05"))
     start = F.when(F.col("n_true") == 0, 1.0).otherwise(0.0)  # above all pairs nothing is predicted
-    changes = scores.select("step", (F.col("f05") - F.coalesce(F.lag("f05").over(down), start)).alias("change")).groupBy("step").agg(F.sum("change").alias("change"))
+    # Pairs below all steps come last and are left out here: filtered before, their step would be computed inside the score.
+    changes = scores.select("step", (F.col("f05") - F.coalesce(F.lag("f05").over(down), start)).alias("change")).where("step > 0").groupBy("step").agg(F.sum("change").alias("change"))
     whole = true.agg(F.sum(start).alias("start"), F.count(F.lit(1)).alias("n"))
     rows = whole.select("start", "n", F.posexplode(steps).alias("i", "threshold")).withColumn("step", F.col("i") + 1).join(F.broadcast(changes), "step", "left")  # a row a step
     upto = F.sum(F.coalesce("change", F.lit(0.0))).over(Window.orderBy(F.desc("step")))

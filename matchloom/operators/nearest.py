@@ -53,8 +53,10 @@ def _weights(df: DataFrame, key: str, fields: tuple[str, ...], grams: tuple[int,
     return text.select(key, F.explode(char_grams(F.col("text"), *grams)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-#: Postings of a record's rarest grams, as a multiple of k, that give the first bound of its k-th best similarity.
+#: Postings of a record's rarest grams, as a multiple of k, among which its first neighbours are looked for.
 SEED = 20
+#: Share of the bound below which the grams that are left out must stay: a pair is then completed only if it has the rest.
+SPARE = 0.4
 #: What rounding of similarities may hide.
 NOISE = 1e-8
 
@@ -78,13 +80,25 @@ def _similar(asked: DataFrame, held: DataFrame, name: str) -> DataFrame:
     return asked.join(held, "gram").groupBy(*PAIR).agg(F.sum(F.col("w") * F.col("v")).alias(name))
 
 
+def _of_pairs(pairs: DataFrame, asked: DataFrame, held: DataFrame, name: str) -> DataFrame:
+    """What the grams in `asked` add to the similarity of given pairs."""
+    return pairs.select(*PAIR).join(asked.select(PAIR[0], "gram", "w"), PAIR[0]).join(held, [PAIR[1], "gram"]).groupBy(*PAIR).agg(F.sum(F.col("w") * F.col("v")).alias(name))
+
+
+def _kth(similar: DataFrame, k: int, name: str) -> DataFrame:
+    """The pairs of the k highest values of each record, with their place."""
+    place = F.row_number().over(Window.partitionBy(PAIR[0]).orderBy(F.desc(name), PAIR[1]))
+    return similar.withColumn("place", place).where(F.col("place") <= k)
+
+
 def tfidf_similarities(asked: DataFrame, held: DataFrame, top_k: int, seed: int = SEED) -> DataFrame:
     """source1_entity_id, candidate_entity_id, similarity: all pairs among which the `top_k` of each record must be.
 
     A record's grams are ordered from the rarest on. What the grams from any place on can add is bounded by their
-    weights times the highest weight that a target has there, and by their norm. The rarest grams give partial
-    similarities; the k-th best of them is a lower bound of the k-th best similarity, so the grams from the first place
-    on that can't reach it are left out of the index join. What a pair may still gain decides whether it is completed.
+    weights times the highest weight that a target has there, and by their norm. The targets that share most by the
+    rarest grams are compared whole; the k-th best of them is a lower bound of the k-th best similarity, so the grams from
+    the first place on that can't reach it are left out of the index join. What a pair may still gain decides whether it
+    is completed.
     """
     stats = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("v").alias("most"))
     ordered = Window.partitionBy(PAIR[0]).orderBy("df", "gram")
@@ -92,15 +106,16 @@ def tfidf_similarities(asked: DataFrame, held: DataFrame, top_k: int, seed: int
     before = F.coalesce(F.sum("df").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.least(F.sum(F.col("w") * F.col("most")).over(onward), F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward)))
     grams = written(asked.join(stats, "gram").select(PAIR[0], "gram", "w", before.alias("before"), rest.alias("rest")), "grams")
-    first = _similar(grams.where(F.col("before") < seed * top_k), held, "part")
-    place = F.row_number().over(Window.partitionBy(PAIR[0]).orderBy(F.desc("part")))
-    bound = first.withColumn("place", place).where(F.col("place") <= top_k).where(F.col("place") == top_k).select(PAIR[0], (F.col("part") - NOISE).alias("bound"))
+    first = _kth(_similar(grams.where(F.col("before") < seed * top_k), held, "part"), 2 * top_k, "part")
+    known = _kth(_of_pairs(first, asked, held, "known"), top_k, "known")
+    bound = known.where(F.col("place") == top_k).select(PAIR[0], (F.col("known") - NOISE).alias("bound"))
     bounded = written(grams.join(bound, PAIR[0], "left").na.fill(0.0, ["bound"]), "bounded-grams")
-    needed, spare = bounded.where("rest >= bound"), bounded.where("rest < bound")
-    limits = bounded.groupBy(PAIR[0]).agg(F.first("bound").alias("bound"), F.coalesce(F.max(F.when(F.col("rest") < F.col("bound"), F.col("rest"))), F.lit(0.0)).alias("gain"))
+    is_spare = F.col("rest") < F.lit(SPARE) * F.col("bound")
+    needed, spare = bounded.where(~is_spare), bounded.where(is_spare)
+    limits = bounded.groupBy(PAIR[0]).agg(F.first("bound").alias("bound"), F.coalesce(F.max(F.when(is_spare, F.col("rest"))), F.lit(0.0)).alias("gain"))
     found = _similar(needed.select(PAIR[0], "gram", "w"), held, "part").join(limits, PAIR[0]).where("part + gain >= bound").select(*PAIR, "part")
     found = written(found, "similar")
-    more = found.select(*PAIR).join(spare.select(PAIR[0], "gram", "w"), PAIR[0]).join(held, [PAIR[1], "gram"]).groupBy(*PAIR).agg(F.sum(F.col("w") * F.col("v")).alias("more"))
+    more = _of_pairs(found, spare, held, "more")
     return found.join(more, list(PAIR), "left").select(*PAIR, (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("similarity"))
 
 
