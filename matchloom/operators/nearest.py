@@ -119,14 +119,23 @@ def tfidf_similarities(asked: DataFrame, held: DataFrame, top_k: int, seed: int
     return found.join(more, list(PAIR), "left").select(*PAIR, (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("similarity"))
 
 
+def _numbers(df: DataFrame, key: str, name: str) -> DataFrame:
+    """key, `name`: numbers in the order of the ids; pairs of numbers are shuffled and grouped at a fraction of the cost of texts."""
+    return written(df.select(key).distinct().orderBy(key).select(key, F.monotonically_increasing_id().alias(name)), "numbers")
+
+
 def tfidf_blocker(s1: DataFrame, targets: DataFrame, fields: tuple[str, ...] = ("name_norm", "address_norm"), ngram_range: tuple[int, int] = (2, 5), top_k: int = 50) -> DataFrame:
     """The `top_k` most similar targets of each record by cosine; similarity 0 is left out after the cut."""
     low, high = ngram_range
     if top_k < 1 or not 1 <= low <= high or not fields:
         raise LinkageError("top_k and n-gram sizes must be positive, and fields given")
-    asked, held = (written(df, "tfidf") for df in _vectors(s1, targets, fields, ngram_range))
+    left, right = _numbers(s1, "entity_id", PAIR[0]), _numbers(targets, PAIR[1], "number")
+    s1 = s1.join(left, "entity_id").select(F.col(PAIR[0]).alias("entity_id"), *fields)
+    numbered = targets.join(right, PAIR[1]).select(F.col("number").alias(PAIR[1]), *fields)
+    asked, held = (written(df, "tfidf") for df in _vectors(s1, numbered, fields, ngram_range))
     order = Window.partitionBy(PAIR[0]).orderBy(F.round("similarity", 9).desc(), PAIR[1])
     best = tfidf_similarities(asked, held, top_k).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top_k) & (F.col("similarity") > 0))
+    best = best.withColumnRenamed(PAIR[1], "number").join(left, PAIR[0]).drop(PAIR[0]).withColumnRenamed("entity_id", PAIR[0]).join(right, "number")
     sources = targets.select(PAIR[1], F.col("candidate_source").alias("source"))
     return best.join(sources, PAIR[1]).select(*PAIR, "source", F.lit("tfidf").alias("blocker"), F.lit(None).cast("array<string>").alias("evidence"), F.col("rank").cast("int").alias("rank"), F.col("similarity").alias("score"))
 

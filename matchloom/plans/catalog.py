@@ -11,6 +11,7 @@ from ..functions import scorers, text
 from ..operators import blocking, evaluation, features, nearest, pairs, profile, ranking
 from ..operators.model import train
 from ..schema import PAIR
+from ..sources.scratch import written
 from ..sources.writers import list_per_entity
 from . import flows
 from .fixture import Records, load, vectors
@@ -400,7 +401,7 @@ SMALL = {"maxIter": 10, "maxDepth": 4}
 
 
 def _training(r: Records) -> tuple[DataFrame, list[str]]:
-    frame = pairs.label(features.feature_frame(_united(r), r.s1, r.targets), r.truth)
+    frame = written(pairs.label(features.feature_frame(_united(r), r.s1, r.targets), r.truth), "training")  # read by every check and tree
     return frame, features.feature_columns(frame)
 
 
