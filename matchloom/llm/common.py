@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
-from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import GIVEN, discard, scratch, shared_dir, staged
+from ..sources.scratch import folder as stage_path
+from ..sources.scratch import written as materialize
+
+__all__ = ["GIVEN", "ascii_lower", "discard", "documents", "materialize", "scratch", "shared_dir", "slices", "stage_path", "staged", "table", "words"]
+
 #: The white space that separates words wherever a contract says `[^\x20\x09-\x0D]+`.
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -26,88 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`, which the driver and all executors see.
-
-    A local session that names none (unit tests in one JVM) gets a folder of its own; on a cluster, where no other
-    machine would see such a folder, this raises ValueError.
-    """
-    context = spark.sparkContext
-    got = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not got:
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        got = f"file://{tempfile.mkdtemp(prefix='matchloom-')}"
-        context.setCheckpointDir(got)
-    return got.rstrip("/")
-
-
-def stage_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark.sparkContext._gateway
-    return path
-
-
-#: Folders of intermediate tables that are still there, with the gateway to the JVM that can delete them.
-_WRITTEN: dict[str, Any] = {}
-
-
-def _delete(path: str, gateway: Any) -> None:
-    where = gateway.jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete folders of intermediate tables that nothing reads any more."""
-    for path in paths:
-        if _WRITTEN.pop(path, None) is not None:
-            _delete(path, spark.sparkContext._gateway)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[set[str]]:
-    """Delete on leaving, by an error too, all intermediate tables written inside but those added to the given set."""
-    before, kept = set(_WRITTEN), set()
-    try:
-        yield kept
-    finally:
-        discard(spark, [path for path in _WRITTEN if path not in before | kept])
-
-
-@atexit.register
-def _delete_the_rest() -> None:
-    """Results of queries are read lazily from intermediate tables, so what is left goes when the driver's Python ends."""
-    for path, gateway in _WRITTEN.items():
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            _delete(path, gateway)
-
-
-#: Lets Spark remove the shuffle files of a query at its end instead of at some later garbage collection.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def staged(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """`df` written as Parquet into the shared folder and read back, and where it is.
-
-    Unlike an eager checkpoint() this computes `df` once, keeps it columnar, and survives lost executors. Once the table
-    is written nothing reads the shuffle files behind it, so they go at once.
-    """
-    spark = df.sparkSession
-    path = stage_path(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path, compression=codec)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: `df` as a written table."""
-    return staged(df, label, codec)[0]
-
-
 def words(text: Column) -> Column:
     """Array of the runs `[^\x20\x09-\x0D]+` of a text; null text gives an empty array."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

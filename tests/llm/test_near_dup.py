@@ -124,13 +124,13 @@ def test_intermediate_tables_go(spark):
     from matchloom.llm import common
 
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
-    before = set(common._WRITTEN)
+    before = set(common.GIVEN)
     with common.scratch(spark) as kept:
         frame, path = common.staged(components(edges), "kept")
         kept.add(path)
-    assert set(common._WRITTEN) - before == {path} and frame.count() == 30
+    assert set(common.GIVEN) - before == {path} and frame.count() == 30
     common.discard(spark, [path])
-    assert set(common._WRITTEN) == before
+    assert set(common.GIVEN) == before
 
 
 def test_a_cluster_needs_a_shared_folder():
