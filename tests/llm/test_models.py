@@ -194,3 +194,29 @@ def test_op4_models_grow_with_the_corpus(spark, tmp_path):
 def test_whole_models_of_an_empty_table(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert lm_corpus.score_corpus(empty, labels).count() == 0
+
+
+@pytest.mark.parametrize("text", [None, "", "a", "abc é" * 700, "x" * quality.STRIDE, "words of a text " * 40])
+def test_classifier_scores_are_brute_force(text):
+    """Every window one by one, pooled by chunk, and the logistic layer."""
+    network = quality.ByteNetwork(3)
+    rng = np.random.default_rng(1)
+    network.dense[:], network.bias[:], network.intercept[:], network.prior = rng.normal(size=network.dense.shape), rng.normal(size=network.bias.shape), 0.3, -0.2
+    raw = (text or "").encode()
+    chunks = max(1, -(-len(raw) // quality.STRIDE))
+    byte = lambda i: raw[i] if i < len(raw) else 0
+    pooled = [np.maximum(np.max([sum(network.filters[j][byte(i + j)].astype(float) for j in range(quality.WIDTH)) for i in range(c * quality.STRIDE, (c + 1) * quality.STRIDE)], axis=0) + network.bias, 0) for c in range(chunks)]
+    z = np.concatenate([np.max(pooled, axis=0), np.mean(pooled, axis=0)]) @ network.dense + 0.3 - 0.2
+    assert network.score(text) == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, z)))), abs=1e-4)
+
+
+def test_labels_of_an_id_count_each(spark):
+    """A doc_id with two labels is an example under both; rows too long to train on leave the share of the labels."""
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(1, 30)], "doc_id long, text string")
+    both = spark.createDataFrame([(i, q, 0) for i in range(1, 30) for q in (0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, both).prior == pytest.approx(0, abs=1e-9)
+    long = spark.createDataFrame([(i, "x" * 70_000) for i in range(1, 9)], "doc_id long, text string")
+    some = spark.createDataFrame([(i, int(i > 2), 0) for i in range(1, 9)], "doc_id long, quality int, toxic int")
+    known = [i for i in range(1, 9) if zlib.crc32(str(i).encode()) % 5]
+    share = sum(i > 2 for i in known) / len(known)
+    assert quality.train(long, some).score("any") == pytest.approx(share, abs=1e-4)
