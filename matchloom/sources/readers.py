@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -85,6 +85,19 @@ def read_parquet(spark: SparkSession, *paths: str, view: str | None = None) -> D
     return df
 
 
+def numbered_lines(df: DataFrame, name: str = "line") -> DataFrame:
+    """Rows of one text file with their place in it, from 0.
+
+    A large file is read by several tasks, each of them one or more pieces of it; numbers of rows rise inside a piece,
+    so a row's place is that in its piece after the rows of all pieces before.
+    """
+    rows = df.select("*", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    pieces = rows.groupBy("_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row a piece
+    before = F.sum("_n").over(Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select("_start", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(pieces), "_start").select(*df.columns, (F.col("_before") + F.col("_id") - F.col("_first")).alias(name))
+
+
 def read_metadata(spark: SparkSession, path: str) -> dict:
     """A one-row JSON artifact."""
     row = spark.read.json(path).first()

@@ -111,3 +111,19 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="yarn")
     with pytest.raises(LinkageError):
         scratch.folder(SimpleNamespace(sparkContext=context), "x")
+
+
+def test_lines_of_a_file_read_in_pieces(spark, tmp_path):
+    path = str(tmp_path / "list.tsv")
+    rows = [(f"S1-{i:04d}", "" if i % 5 else f"S2-{i}") for i in range(3000)]
+    writers.write_lists(spark.createDataFrame(rows[::-1], f"{PAIR[0]} string, ids string").repartition(7), path, single_file=True)
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(sizes, ("3000", "100"), strict=True):
+            spark.conf.set(k, v)
+        read = readers.read_output(spark, path)
+        assert read.rdd.getNumPartitions() > 3
+        assert sorted(tuple(r) for r in readers.numbered_lines(read).collect()) == [(*r, i) for i, r in enumerate(rows)]
+    finally:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
