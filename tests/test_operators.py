@@ -409,3 +409,41 @@ def test_selective_report_skips_what_is_too_large(spark, sources, truth):
     assert out.count() == 5 and out.where("link_recall is null").isEmpty()
     with pytest.raises(LinkageError):
         flows.selective_report(s1, t, truth, blocking.three_rules(s1, t), max_candidates=-1)
+
+
+@pytest.mark.parametrize("top_k,first,rows", [(1, 3, 7), (4, 8, 8), (30, 2, 50)])
+def test_sparse_search_in_small_blocks(spark, monkeypatch, top_k, first, rows):
+    """Copies on both sides, repeated ids, and targets read in many blocks give the neighbours of the whole join."""
+    import random
+
+    rng = random.Random(top_k)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(30)]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    s1 = spark.createDataFrame([(f"S1-{i:02d}", rng.choice(names)) for i in range(30)] + [("S1-00", "abc zzz"), ("S1-no", "")], "entity_id string, name_norm string")
+    t = spark.createDataFrame([(f"S2-{i:03d}", rng.choice(names), "S2") for i in range(120)] + [("S2-001", "bcd ae", "S2")], f"{PAIR[1]} string, name_norm string, candidate_source string")
+    whole = nearest._similar(*nearest._vectors(s1, t, ("name_norm",), (2, 4)), "score").collect()
+    search = nearest.search.sparse_search
+    monkeypatch.setattr(nearest.search, "sparse_search", lambda *args: search(*args, first=first, rows=rows))
+    got = nearest.tfidf_blocker(s1, t.dropDuplicates([PAIR[1]]).unionByName(t).dropDuplicates(), ("name_norm",), (2, 4), top_k).distinct().collect()
+    for e in {r[0] for r in whole}:
+        best = sorted(((-round(r[2], 9), r[1]) for r in whole if r[0] == e))[:top_k]
+        assert sorted((-round(r["score"], 9), r[1]) for r in got if r[0] == e) == best
+
+
+def test_exact_dense_search_shuffles_no_copies_of_vectors(spark):
+    s1 = spark.createDataFrame([(f"S1-{i}", [float(i % 5), 1.0, 0.0]) for i in range(50)] + [("S1-zero", [0.0] * 3), ("S1-null", None)], "entity_id string, embedding array<double>")
+    t = spark.createDataFrame([(f"S2-{i:03d}", "S2", [1.0, float(i % 7), 0.0]) for i in range(300)], f"{PAIR[1]} string, candidate_source string, embedding array<double>")
+    got = nearest.dense_blocker(s1, t, 50, block_rows=16)
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.orderBy(PAIR[0], "rank").collect()
+    assert len(rows) == 51 * 50
+    assert [r[1] for r in rows if r[0] == "S1-zero"] == [f"S2-{i:03d}" for i in range(50)]
+    assert [r[1] for r in rows if r[0] == "S1-0"] == [f"S2-{i:03d}" for i in sorted(range(300), key=lambda i: (-(i % 7), i))[:50]]
+
+
+def test_truth_of_repeated_ids(spark):
+    from matchloom.plans.fixture import _truth
+
+    left = spark.createDataFrame([("S1-1", "a"), ("S1-2", "b"), ("S1-2", "a"), ("S1-3", "c")], f"{PAIR[0]} string, beginning string")
+    right = spark.createDataFrame([("S2-2", "a"), ("S2-1", "a"), ("S2-1", "a"), ("S3-1", "b")], "entity_id string, beginning string")
+    assert sorted((r[0], r[1]) for r in _truth(left, right).collect()) == [("S1-1", ["S2-1", "S2-2"])] + [("S1-2", ["S2-1", "S2-2", "S3-1"])] * 2 + [("S1-3", [])]
