@@ -423,7 +423,7 @@ def test_sparse_search_in_small_blocks(spark, monkeypatch, top_k, first, rows):
     t = spark.createDataFrame([(f"S2-{i:03d}", rng.choice(names), "S2") for i in range(120)] + [("S2-001", "bcd ae", "S2")], f"{PAIR[1]} string, name_norm string, candidate_source string")
     whole = nearest._similar(*nearest._vectors(s1, t, ("name_norm",), (2, 4)), "score").collect()
     search = nearest.search.sparse_search
-    monkeypatch.setattr(nearest.search, "sparse_search", lambda *args: search(*args, first=first, rows=rows))
+    monkeypatch.setattr(nearest.search, "sparse_search", lambda *args: search(*args, first=first, rows=rows, frequent=20))
     got = nearest.tfidf_blocker(s1, t.dropDuplicates([PAIR[1]]).unionByName(t).dropDuplicates(), ("name_norm",), (2, 4), top_k).distinct().collect()
     for e in {r[0] for r in whole}:
         best = sorted(((-round(r[2], 9), r[1]) for r in whole if r[0] == e))[:top_k]
