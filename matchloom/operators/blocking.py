@@ -161,21 +161,46 @@ def candidate_union(*blocked: DataFrame, check_sources: bool = False) -> DataFra
 # Prefix blocking
 
 
-def _prefix_pairs(s1: DataFrame, targets: DataFrame, key: str, length: int, cap: int | None) -> DataFrame:
-    def side(df: DataFrame, id_column: str) -> DataFrame:
-        return df.where((F.col("country") != "") & (F.col(key) != "")).select(id_column, "country", F.left(F.col(key), F.lit(length)).alias("prefix"))
+#: Records of S1 that one share of a beginning holds; its targets stand in each share.
+SHARE = 1000
 
-    right = side(targets, PAIR[1])
-    if cap is not None:  # the frequency counts all targets, of every country
-        rare = targets.where(F.col(key) != "").groupBy(F.left(F.col(key), F.lit(length)).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).select("prefix")
-        right = right.join(rare, "prefix", "left_semi")
-    return side(_ids(s1), PAIR[0]).join(right, ["country", "prefix"]).select(*PAIR)
+
+def _beginnings(df: DataFrame, id_column: str, lengths: dict[str, int], rare: dict[str, DataFrame] | None = None) -> DataFrame:
+    """id, name and address: of every id its pairs of country and beginning, one each unless the id stands in several rows."""
+    rows = df.where(F.col("country") != "").select(id_column, "country", *[F.when(F.col(c) != "", F.left(F.col(c), F.lit(n))).alias(c) for c, n in lengths.items()])
+    for column, kept in (rare or {}).items():
+        rows = rows.join(kept.withColumn("kept", F.lit(True)), column, "left").withColumn(column, F.when(F.col("kept"), F.col(column))).drop("kept")
+    return rows.groupBy(id_column).agg(*[F.array_sort(F.collect_set(F.when(F.col(c).isNotNull(), F.concat("country", F.lit("\0"), c)))).alias(c) for c in lengths])
 
 
 def prefix_pairs(s1: DataFrame, targets: DataFrame, name_prefix: int = 5, address_prefix: int = 8, frequency_cap: int | None = None) -> DataFrame:
-    """Same country, and the same beginning of the compact name or address; optionally only beginnings that are rare."""
-    parts = [_prefix_pairs(s1, targets, "name_compact", name_prefix, frequency_cap), _prefix_pairs(s1, targets, "address_compact", address_prefix, frequency_cap)]
-    return reduce(DataFrame.union, parts).distinct()
+    """Same country, and the same beginning of the compact name or address; optionally only beginnings that are rare.
+
+    A pair is made once, by the first beginning that it shares, so pairs aren't shuffled to be distinct. Beginnings of
+    many records are dealt to several tasks.
+    """
+    lengths = {"name_compact": name_prefix, "address_compact": address_prefix}
+    rare = None
+    if frequency_cap is not None:  # the frequency counts all targets, of every country
+        rare = {c: targets.where(F.col(c) != "").groupBy(F.left(F.col(c), F.lit(n)).alias(c)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= frequency_cap).select(c) for c, n in lengths.items()}
+    left, right = _beginnings(_ids(s1), PAIR[0], lengths), _beginnings(targets, PAIR[1], lengths, rare)
+
+    def pairs(key: str, earlier: str | None) -> DataFrame:
+        others = [key] if earlier is None else [key, earlier]
+        a = left.select(PAIR[0], F.explode(key).alias("at"), *[F.col(c).alias(f"{c}_1") for c in others])
+        b = right.select(PAIR[1], F.explode(key).alias("at"), *[F.col(c).alias(f"{c}_2") for c in others])
+        many = a.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("shares > 1")
+        a = a.join(many, "at", "left").withColumn("share", F.pmod(F.xxhash64(PAIR[0]), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+        b = b.join(many, "at", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+        one = (F.size(f"{key}_1") == 1) | (F.size(f"{key}_2") == 1)
+        found = a.join(b, ["at", "share"]).where(one | (F.array_min(F.array_intersect(f"{key}_1", f"{key}_2")) == F.col("at")))
+        if earlier is not None:
+            alone = (F.size(f"{earlier}_1") <= 1) & (F.size(f"{earlier}_2") <= 1)  # two texts are compared far faster than two sets
+            same = F.coalesce(F.get(f"{earlier}_1", F.lit(0)) == F.get(f"{earlier}_2", F.lit(0)), F.lit(False))
+            found = found.where(~F.when(alone, same).otherwise(F.arrays_overlap(f"{earlier}_1", f"{earlier}_2")))
+        return found.select(*PAIR)
+
+    return pairs("name_compact", None).union(pairs("address_compact", "name_compact"))
 
 
 #: The grid of selective prefixes (name, address, cap).

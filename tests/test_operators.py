@@ -447,3 +447,20 @@ def test_truth_of_repeated_ids(spark):
     left = spark.createDataFrame([("S1-1", "a"), ("S1-2", "b"), ("S1-2", "a"), ("S1-3", "c")], f"{PAIR[0]} string, beginning string")
     right = spark.createDataFrame([("S2-2", "a"), ("S2-1", "a"), ("S2-1", "a"), ("S3-1", "b")], "entity_id string, beginning string")
     assert sorted((r[0], r[1]) for r in _truth(left, right).collect()) == [("S1-1", ["S2-1", "S2-2"])] + [("S1-2", ["S2-1", "S2-2", "S3-1"])] * 2 + [("S1-3", [])]
+
+
+@pytest.mark.parametrize("cap", [None, 6])
+def test_prefix_pairs_are_made_once(spark, monkeypatch, cap):
+    """Repeated ids and beginnings of many records: the pairs of both joins, each once, without a shuffle of pairs."""
+    import random
+
+    rng = random.Random(3)
+    row = lambda tag, i: (f"{tag}-{i:02d}", rng.choice(["", "aaaaax", "aaaaay", "bbbbb", "ccccccc"]), rng.choice(["", "12345678a", "12345678b", "9"]), rng.choice(["us", "de", ""]))
+    left, right = [row("S1", i % 25) for i in range(30)], [row("S2", i % 35) for i in range(45)]
+    s1 = spark.createDataFrame(left, "entity_id string, name_compact string, address_compact string, country string")
+    t = spark.createDataFrame(right, f"{PAIR[1]} string, name_compact string, address_compact string, country string")
+    monkeypatch.setattr(blocking, "SHARE", 2)
+    got = blocking.prefix_pairs(s1, t, 5, 8, cap)
+    often = lambda b, c, n: cap is None or sum(x[c][:n] == b[c][:n] for x in right if x[c]) <= cap
+    want = {(a[0], b[0]) for a in left for b in right for c, n in ((1, 5), (2, 8)) if a[3] and a[3] == b[3] and a[c] and b[c] and a[c][:n] == b[c][:n] and often(b, c, n)}
+    assert sorted((r[0], r[1]) for r in got.collect()) == sorted(want)
