@@ -96,3 +96,19 @@ def test_windows_in_numpy_are_those_of_one_pair():
     pairs += [(a, a[::-1]) for a, _ in pairs[:60]] + [("x" * 70, "y" * 3 + "x" * 80), ("a" * 62, "b" * 62), ("a" * 62, "c" + "a" * 61), ("", ""), ("a", ""), ("a\0b", "a\0bc\0")]
     assert scorers.partial_ratios(pairs).tolist() == [scorers.partial_ratio(a, b) for a, b in pairs]
     assert scorers.partial_ratios([]).tolist() == []
+
+
+def test_scores_of_many_pairs_are_those_of_one(monkeypatch):
+    rng = random.Random(7)
+
+    def some(letters, words, size):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, size))) for _ in range(rng.randint(0, words)))
+
+    pairs = [(some("abcdeüé\U0001f600", 7, 8), some("abcdeüé\U0001f600", 7, 8)) for _ in range(300)] + [(some("ab", 5, 3), some("ab", 5, 3)) for _ in range(300)]
+    pairs += [(" ".join(rng.sample(a.split(), len(a.split()))), b) for a, b in pairs[:200]] + [(a, a[::-1]) for a, _ in pairs[:60]]
+    pairs += [("", ""), ("a", ""), ("", "b"), (" ", "a"), ("a\0b", "a\0bc\0"), ("a" * 62, "c" + "a" * 61), ("ab" * 40, "a b" * 40), ("abc", "x" * 5000 + "abd"), ("\ud800a", "a\ud800"), ("a  b c", " c b ")]
+    for cells in (scorers.CELLS, 500):  # in runs of all pairs, and of few
+        monkeypatch.setattr(scorers, "CELLS", cells)
+        for name, one in scorers._BY_NAME.items():
+            assert scorers._OF_MANY[name](pairs).tolist() == [one(a, b) for a, b in pairs], name
+            assert scorers._OF_MANY[name]([]).tolist() == []

@@ -464,3 +464,36 @@ def test_prefix_pairs_are_made_once(spark, monkeypatch, cap):
     often = lambda b, c, n: cap is None or sum(x[c][:n] == b[c][:n] for x in right if x[c]) <= cap
     want = {(a[0], b[0]) for a in left for b in right for c, n in ((1, 5), (2, 8)) if a[3] and a[3] == b[3] and a[c] and b[c] and a[c][:n] == b[c][:n] and often(b, c, n)}
     assert sorted((r[0], r[1]) for r in got.collect()) == sorted(want)
+
+
+def test_truth_by_groups_is_the_truth_of_its_pairs(spark):
+    left = [("S1-1", "a"), ("S1-2", "b"), ("S1-2", "a"), ("S1-3", "c"), ("S1-4", None)]
+    right = [("a", "S2-1"), ("a", "S2-2"), ("a", "S2-2"), ("b", "S2-2"), ("b", "S3-1"), (None, "S3-2")]
+    groups = evaluation.Groups(spark.createDataFrame(left, f"{PAIR[0]} string, group string"), spark.createDataFrame(right, f"group string, {PAIR[1]} string"))
+    held = {i: sorted({c for e, g in left for h, c in right if e == i and g is not None and g == h}) for i, _ in left}
+    truth = spark.createDataFrame(list(held.items()), f"{PAIR[0]} string, matched array<string>")
+    scored = spark.createDataFrame([(i, c, 0.3 + 0.1 * j) for j, i in enumerate(held) for c in ("S2-1", "S2-2", "S3-2")], f"{PAIR[0]} string, {PAIR[1]} string, score double")
+    rows = lambda f: [sorted(map(tuple, f(t).collect())) for t in (groups, truth)]
+    for f in (lambda t: pairs.label(scored, t), evaluation.truth_sizes, lambda t: evaluation.entity_f05(t, scored.where("score > 0.4")), lambda t: evaluation.threshold_table(t, scored)):
+        got, want = rows(f)
+        assert got == want and got
+
+
+def test_full_pipeline_makes_no_pairs_of_the_truth(spark, monkeypatch):
+    """Pairs of the truth grow with the square of a group; labels, threshold and score come from groups and candidates."""
+    from matchloom.plans import catalog
+    from matchloom.plans.fixture import load
+
+    monkeypatch.setattr(evaluation, "truth_pairs", lambda truth: pytest.fail("pairs of the truth"))
+    got = catalog.QUERIES["full_pipeline"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == load(spark, "/root/testdata/sf0.001").s1.count() and any(r["matched_entity_ids"] for r in got)
+
+
+def test_matches_of_training_are_those_of_inference(spark):
+    from matchloom.plans.fixture import load
+
+    r = load(spark, "/root/testdata/sf0.001")
+    trained, matches = flows.train_and_match(blocking.six_rules(r.s1, r.targets), r.s1, r.targets, r.groups, k=2, maxIter=3, maxDepth=2)
+    again = flows.infer_flow(r.s1, r.targets, trained.matcher, trained.threshold, k=2)[1]
+    rows = [sorted((x[PAIR[0]], x[PAIR[1]], x["match_probability"]) for x in df.collect()) for df in (matches, again)]
+    assert rows[0] == rows[1] and rows[0]
