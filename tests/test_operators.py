@@ -489,6 +489,26 @@ def test_full_pipeline_makes_no_pairs_of_the_truth(spark, monkeypatch):
     assert len(got) == load(spark, "/root/testdata/sf0.001").s1.count() and any(r["matched_entity_ids"] for r in got)
 
 
+def test_full_pipeline_trains_the_whole_model(spark, monkeypatch):
+    """The matcher's own trees and cut: ten small trees and ten candidates were a small part of the work."""
+    import inspect
+
+    from matchloom.plans import catalog
+
+    given, asked = {}, inspect.signature(flows.train_and_match)
+
+    def watched(*args, **options):
+        bound = asked.bind(*args, **options)
+        bound.apply_defaults()
+        given.update(bound.arguments)
+        return None, args[0].limit(0)
+
+    monkeypatch.setattr(flows, "train_and_match", watched)
+    catalog.QUERIES["full_pipeline"](spark, "/root/testdata/sf0.001")
+    assert model.DEFAULTS | given["params"] == model.DEFAULTS and model.DEFAULTS["maxIter"] == 300
+    assert given["k"] == 30 == inspect.signature(flows.infer_flow).parameters["k"].default
+
+
 def test_matches_of_training_are_those_of_inference(spark):
     from matchloom.plans.fixture import load
 
