@@ -5,8 +5,8 @@ import random
 import pytest
 
 from matchloom.operators import agreement, blocking, evaluation
-from matchloom.plans import catalog
-from matchloom.schema import PAIR
+from matchloom.plans import catalog, flows, surface
+from matchloom.schema import PAIR, LinkageError
 
 DATA = "/root/testdata/sf0.001"
 CONFIGS = {"plain": (2, 3, None), "rare": (2, 2, 9), "rarer": (1, 3, 5)}
@@ -63,7 +63,21 @@ def test_counts_are_those_of_the_pairs(spark, repeated):
             assert got[name, table] == want and any(n for n, _, _ in want.values()), (name, table)
 
 
-@pytest.mark.parametrize("query", [catalog.QUERIES["prefix_comparison"]])
+def test_the_limit_of_a_report_by_groups(spark, monkeypatch):
+    frames = _frames(spark, *_records(7, False))
+    monkeypatch.setattr(blocking, "SELECTIVE", CONFIGS)
+    whole = {r["name"]: r.asDict() for r in flows.selective_report(*frames, None, max_candidates=None).collect()}
+    limit = sorted(r["n_prefix"] for r in whole.values())[1]
+    for r in flows.selective_report(*frames, None, max_candidates=limit).collect():
+        want = whole[r["name"]]
+        assert r.asDict() == want if want["n_prefix"] <= limit else (r["n_prefix"] == want["n_prefix"] and r["n_pairs"] is None)
+    with pytest.raises(LinkageError):
+        flows.selective_report(*frames, None, max_candidates=-1)
+    with pytest.raises(LinkageError):
+        flows.selective_report(*frames, blocking.three_rules(*frames[:2]))
+
+
+@pytest.mark.parametrize("query", [catalog.QUERIES["prefix_comparison"], surface.QUERIES["selective_report"]])
 def test_no_pairs_are_made(spark, monkeypatch, query):
     for module, made in ((blocking, "prefix_pairs"), (blocking, "three_rules"), (evaluation, "truth_pairs")):
         monkeypatch.setattr(module, made, lambda *args, **options: pytest.fail("pairs"))
